@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ohmgraph.llm import exact_dedup, line_dedup, mixing, packing
+from ohmgraph.llm import exact_dedup, line_dedup, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op3_best_fit_packing": packing.query,
     "op5_mixing": mixing.query,
+    "op7_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_quality": quality.query,
 }
 SQL = {"op1_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
