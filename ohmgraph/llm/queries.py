@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ohmgraph.llm import exact_dedup, line_dedup, mixing, packing, quality, toxicity
+from ohmgraph.llm import exact_dedup, langid, line_dedup, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_language_id": langid.query,
     "op3_best_fit_packing": packing.query,
     "op5_mixing": mixing.query,
     "op7_toxicity": toxicity.query,
