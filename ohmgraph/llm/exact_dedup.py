@@ -86,7 +86,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     rows = identities(docs)
     best = F.min(F.struct((-F.col("row.points")).alias("m"), F.col("row.doc_id").isNull().alias("x"), F.col("row.doc_id").alias("d"), F.col("row.rid").alias("rid")))
-    groups = rows.groupBy(F.col("row.nb").alias("nb"), "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    # written out, so that the join below reads both sides from exchanges of its own and Spark can split a hot group
+    groups = Scratch(docs.sparkSession, "exact-dedup").keep(rows.groupBy(F.col("row.nb").alias("nb"), "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")), "groups")
     joined = rows.withColumn("nb", F.col("row.nb")).join(groups, ["nb", "name"])
     return joined.select(F.col("row.doc_id").alias("doc_id"), F.col("best.d").alias("keep_id"), "group_size", (F.col("row.rid") == F.col("best.rid")).alias("kept"), F.col("row.sha").alias("text_sha256"))
 
