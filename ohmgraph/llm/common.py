@@ -1,19 +1,14 @@
-"""Helpers shared by the operators of this subpackage.
-
-``Scratch`` is how lineage is cut: intermediate tables are written as Parquet below the folder that the
-session names in ``spark.checkpoint.dir`` (shared by driver and executors) and read back, so that a lost
-executor costs a re-read instead of a recomputation, and no step keeps its only copy on one machine.
-"""
+"""Helpers shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ohmgraph.scratch import Scratch, shared_dir
+
+__all__ = ["Scratch", "fold", "held_out", "labelled_sample", "partitions", "shared_dir", "small_batches", "squeeze", "table"]
+
 #: The white space that the contracts of this subpackage mean: ``[\x20\x09-\x0D]``.
 WS = " \t\n\x0b\x0c\r"
 #: Where a null doc_id sorts: after every other one.
@@ -24,55 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one, set only where the session names none (as in tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ohmgraph-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables of one call, in a folder of their own."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.made: list[str] = []
-        atexit.register(self.drop_all)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read back."""
-        path = f"{self.root}/{name}-{len(self.made)}"
-        df.write.parquet(path)
-        self.made.append(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._ohm_path = path
-        return out
-
-    def _delete(self, path: str) -> None:
-        jvm, sc = self.spark._jvm, self.spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
-
-    def drop(self, df: DataFrame) -> None:
-        """Removes a table that no later step reads."""
-        self._delete(df._ohm_path)
-
-    def drop_all(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            try:
-                self._delete(self.root)
-            except Exception as e:  # the JVM may have ended before Python; the folder then stays
-                del e
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ohmgraph.llm import exact_dedup, langid, line_dedup, mixing, packing, quality, toxicity
+from ohmgraph.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_language_id": langid.query,
     "op3_best_fit_packing": packing.query,
+    "op4_near_dedup": near_dedup.query,
     "op5_mixing": mixing.query,
     "op7_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
