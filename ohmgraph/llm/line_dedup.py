@@ -139,6 +139,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     return out.select(*(F.col(k).alias(c) for k, c in back.items() if c != "text"), "_kept", "_lines", "_gone")
 
 
+def deduped(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the text that is left, and ``n_chars``, where there is one, counted anew. No row goes."""
+    out = line_dedup(docs)
+    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)
 

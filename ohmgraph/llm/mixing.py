@@ -94,6 +94,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return out[0].union(out[1])
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, unchanged; rows of equal id, text and source alike."""
+    rows = docs.withColumn("_key", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), source_key(F.col("source")).alias("s")))
+    taken = mix(docs.select("doc_id", "text", "source"), weights).filter("copies > 0")
+    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.col("text_hash").alias("t"), F.col("sk").alias("s"))
+    taken = taken.groupBy(key.alias("_key")).agg(F.max("copies").alias("_copies"))
+    return rows.join(taken, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_nth")).drop("_nth")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

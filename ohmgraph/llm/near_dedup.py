@@ -93,7 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(doc, np.arange(b - a + 1))
             keys = [xxhash.xxh3_128_digest(h[cut[i] : cut[i + 1]].tobytes()) for i in range(b - a)]
             k = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.record_batch([ids.slice(a, b - a), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(np.diff(cut)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "k1", "k2", "words", "sig"])
+            yield pa.record_batch([ids.slice(a, b - a), batch.column("rk").slice(a, b - a), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(np.diff(cut)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "rk", "k1", "k2", "words", "sig"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -127,7 +127,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), words, kept (its own class_id).
+    """One row per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), words, rk (a hash of the text), kept (its own class_id).
 
     Words are runs of ASCII letters, digits and all non-ASCII characters, ASCII case folded. A text of fewer words than a
     shingle is one shingle; a text without a word (null and empty ones too) is a class by itself. Rows of equal words are in one class.
@@ -137,8 +137,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, 256)
     tmp = Scratch(spark, "near-dedup")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = tmp.keep(text.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, words long, sig binary"), "rows")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", F.xxhash64("text"))
+    rows = tmp.keep(text.mapInArrow(_sketch, "doc_id long, rk long, k1 long, k2 long, words long, sig binary"), "rows")
     distinct = rows.filter("words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))  # equal words, equal signature
     nodes = tmp.keep(distinct.sortWithinPartitions("k1", "k2").withColumn("node", F.monotonically_increasing_id()), "nodes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
@@ -168,13 +168,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
     of = nodes.select("k1", "k2", "node", "first_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = tmp.keep(of.groupBy("component").agg(F.min("first_id").alias("class_id")), "least")
     label = tmp.keep(of.join(least, "component").select("k1", "k2", "class_id"), "labels")
-    named = rows.filter("words > 0").select("doc_id", "words", "k1", "k2").join(label, ["k1", "k2"]).select("doc_id", "class_id", "words")
-    alone = rows.filter("words = 0").select("doc_id", F.col("doc_id").alias("class_id"), "words")
+    named = rows.filter("words > 0").select("doc_id", "words", "rk", "k1", "k2").join(label, ["k1", "k2"]).select("doc_id", "class_id", "words", "rk")
+    alone = rows.filter("words = 0").select("doc_id", F.col("doc_id").alias("class_id"), "words", "rk")
     return named.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, unchanged; of rows of equal id and text one stays."""
+    kept = near_classes(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_id"), F.col("rk").alias("_rk")).distinct()
+    rows = docs.withColumn("_rk", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0)))
+    kept = kept.withColumn("_null", F.col("_id").isNull()).withColumn("_id", F.coalesce("_id", F.lit(0)))
+    keys = ["_id", "_null", "_rk"]
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
-__all__ = ["AGREE", "K", "near_classes", "query", "signatures"]
+__all__ = ["AGREE", "K", "near_classes", "one_of_each", "query", "signatures"]

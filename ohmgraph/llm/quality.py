@@ -212,6 +212,20 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return rows.mapInArrow(_scores(model, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def _passing(model: Model, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(batch.column("text")) >= threshold))
+
+    return run
+
+
+def passing(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, unchanged; nothing is shuffled."""
+    small_batches(docs.sparkSession, 256)
+    return docs.mapInArrow(_passing(model, threshold), docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
