@@ -7,10 +7,12 @@ see the same darts. The signature keeps the earliest dart of each coordinate; tw
 in a coordinate with probability equal to their similarity. Ranks are generated slab by slab, each as wide as all before, only until every coordinate of a
 document is hit: about K ln K darts for a document, not K hashes for each shingle.
 
-Documents of equal words are one node. Nodes that share a band of ``ROWS`` coordinates are compared with the smallest node of their
-bucket by their whole signatures; those that agree in at least ``AGREE`` of the coordinates are linked. Where a bucket then still holds several
-components, its members outside the largest are compared with all members of other components, so no link within a bucket is lost,
-while a bucket of one family costs one comparison for each member. Classes are connected components.
+Documents of equal words are one node. Nodes that share a band of ``ROWS`` coordinates are compared, by their whole signatures, with the
+node of their bucket that meets most others; those that agree in at least ``AGREE`` of the coordinates are linked, and components of links are formed. A bucket of
+one family thus costs one comparison for each member. Where a bucket still holds several components, its members get signatures of ``K2``
+coordinates and sharper bands of ``ROWS2``, which few pairs below the similarity asked for share; within these every member outside the
+largest component is compared with all members of other components, so no link is lost to the choice of the first
+comparison. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgraph.llm import textops
-from ohmgraph.llm.common import Scratch, small_batches, table
+from ohmgraph.llm.common import NULL_ID, Scratch, small_batches, table
 from ohmgraph.operators.components import components
 
 SHINGLE, ROWS, BANDS = 5, 7, 36
@@ -33,6 +35,12 @@ K = ROWS * BANDS
 #: Share of equal coordinates that makes a link. The similarity asked for is 0.8; the estimate's standard
 #: deviation there is sqrt(0.16 / K) = 0.025, and two of them are allowed for.
 AGREE = 0.75
+#: The second look: a pair of similarity 0.8 shares a band with probability 0.993; the deviation is 0.009.
+ROWS2, BANDS2 = 15, 140
+K2 = ROWS2 * BANDS2
+AGREE2 = 0.775
+#: So many nodes' keys are broadcast for the second look at their texts; more are joined by shuffle.
+BROADCAST_NODES = 200_000
 _FIRST = 0.25
 _U = np.uint64
 _EMPTY = _U(2**64 - 1)
@@ -53,9 +61,9 @@ def _thresholds(rate: float) -> np.ndarray:
 _SLABS = [(_FIRST, _thresholds(_FIRST))] + [(_FIRST * 2**s, _thresholds(_FIRST * 2**s)) for s in range(14)]
 
 
-def signatures(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """(n, K) fingerprints of the earliest dart of each coordinate; documents without a shingle have zeros."""
-    sig = np.full(n * K, _EMPTY)
+def signatures(h: np.ndarray, doc: np.ndarray, n: int, k: int = K) -> np.ndarray:
+    """(n, k) fingerprints of the earliest dart of each coordinate; documents without a shingle have zeros."""
+    sig = np.full(n * k, _EMPTY)
     with np.errstate(over="ignore"):
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
@@ -68,19 +76,19 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
             u = textops.mix(cell ^ _U((slab + 1) * 0xA0761D6478BD642F % 2**64))
             hit = np.flatnonzero(u >= thr[0])
             count = np.searchsorted(thr, u[hit], side="right")
-            seed, owner = np.repeat(u[hit], count), np.repeat(doc[hit] * K, count)
+            seed, owner = np.repeat(u[hit], count), np.repeat(doc[hit] * k, count)
             j = np.arange(len(seed)) - np.repeat(np.cumsum(count) - count, count)
             dart = textops.mix(seed + (j + 1).astype(_U) * textops.MUL)
             more = textops.mix(dart)
-            where = owner + ((more >> _U(32)) * _U(K) >> _U(32)).astype(np.int64)
+            where = owner + ((more >> _U(32)) * _U(k) >> _U(32)).astype(np.int64)
             np.minimum.at(sig, where, _U(slab) << _U(56) | dart >> _U(24) << _U(16) | more & _U(0xFFFF))
-            open_doc = (sig.reshape(n, K) == _EMPTY).any(axis=1)
+            open_doc = (sig.reshape(n, k) == _EMPTY).any(axis=1)
             keep = open_doc[doc]
             if not keep.any():
                 break
             if not keep.all():
                 cell, doc = cell[keep], doc[keep]
-    return (sig.reshape(n, K) & _U(0xFFFF)).astype(np.uint16)
+    return (sig.reshape(n, k) & _U(0xFFFF)).astype(np.uint16)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,34 +104,66 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids.slice(a, b - a), batch.column("rk").slice(a, b - a), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(np.diff(cut)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "rk", "k1", "k2", "words", "sig"])
 
 
+def _resketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, off in textops.chunks(batch.column("text"), 1 << 19):
+            h, doc = textops.words(data, off)
+            sig = signatures(*textops.shingles(h, doc, b - a, SHINGLE), b - a, K2)
+            yield pa.record_batch([batch.column("node").slice(a, b - a), pa.array([r.tobytes() for r in sig], pa.binary())], names=["node", "sig"])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, K)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        m = _matrix(batch.column("sig")).reshape(-1, BANDS, ROWS).astype(_U)
-        with np.errstate(over="ignore"):
-            acc = np.broadcast_to(textops.mix(np.arange(1, BANDS + 1).astype(_U)), m.shape[:2])
-            for r in range(ROWS):
-                acc = textops.mix(acc * textops.MUL + m[:, :, r])
-        yield pa.record_batch([pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(acc.ravel().view(np.int64))], names=["node", "band"])
+def _bands(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _matrix(batch.column("sig"))
+            n = m.shape[1] // rows
+            m = m.reshape(-1, n, rows).astype(_U)
+            with np.errstate(over="ignore"):
+                acc = np.broadcast_to(textops.mix(np.arange(1, n + 1).astype(_U)), m.shape[:2])
+                for r in range(rows):
+                    acc = textops.mix(acc * textops.MUL + m[:, :, r])
+            yield pa.record_batch([pa.array(np.repeat(batch.column("node").to_numpy(), n)), pa.array(acc.ravel().view(np.int64))], names=["node", "band"])
 
+    return run
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ok = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).sum(axis=1) >= AGREE * K
-        i = pa.array(np.flatnonzero(ok))
-        yield pa.record_batch([batch.column("a").take(i), batch.column("b").take(i)], names=["a", "b"])
+
+def _agreeing(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ok = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).mean(axis=1) >= share
+            i = pa.array(np.flatnonzero(ok))
+            yield pa.record_batch([batch.column("a").take(i), batch.column("b").take(i)], names=["a", "b"])
+
+    return run
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sigs: DataFrame, share: float) -> DataFrame:
     a, b = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(share), "a long, b long")
+
+
+def _buckets(tmp: Scratch, sigs: DataFrame, rows: int) -> DataFrame:
+    """(band, node, n): members of bands that several nodes share, with the size of the bucket."""
+    bands = tmp.keep(sigs.mapInArrow(_bands(rows), "node long, band long"), "bands")
+    shared = tmp.keep(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    out = tmp.keep(bands.join(shared, "band"), "members")
+    tmp.drop(bands)
+    return out
+
+
+def _mixed(tmp: Scratch, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, node, component) of buckets that hold several components."""
+    known = members.select("band", "node").join(classes, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    bands = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
+    return tmp.keep(known.join(tmp.keep(bands, "mixed"), "band"), "inside")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -139,30 +179,33 @@ def near_classes(docs: DataFrame) -> DataFrame:
     tmp = Scratch(spark, "near-dedup")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", F.xxhash64("text"))
     rows = tmp.keep(text.mapInArrow(_sketch, "doc_id long, rk long, k1 long, k2 long, words long, sig binary"), "rows")
-    distinct = rows.filter("words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))  # equal words, equal signature
+    distinct = rows.filter("words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "rk")).alias("one"), F.first("sig").alias("sig"))  # equal words, equal signature
     nodes = tmp.keep(distinct.sortWithinPartitions("k1", "k2").withColumn("node", F.monotonically_increasing_id()), "nodes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     sigs = nodes.select("node", "sig")
-    bands = tmp.keep(sigs.mapInArrow(_bands, "node long, band long"), "bands")
-    leads = bands.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("band", "lead")
-    members = tmp.keep(bands.join(tmp.keep(leads, "leads"), "band"), "members")
-    tmp.drop(bands)
-    pairs = tmp.keep(members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = tmp.keep(_verified(pairs, sigs), "links")
+    members = _buckets(tmp, sigs, ROWS)
+    central = tmp.keep(members.groupBy("node").agg(F.sum("n").alias("met")), "central")
+    leads = members.join(central, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("x")).select("band", F.col("x.node").alias("lead"))
+    pairs = members.join(tmp.keep(leads, "leads"), "band").filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    links = tmp.keep(_verified(tmp.keep(pairs, "pairs"), sigs, AGREE), "links")
     classes = tmp.keep(components(links, "a", "b"), "classes")
-    # buckets that still hold several components
-    known = members.select("band", "node").join(classes, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    inside = tmp.keep(known.join(tmp.keep(mixed, "mixed"), "band"), "inside")
+    inside = _mixed(tmp, members, classes)
     if not inside.isEmpty():
+        wanted = tmp.keep(inside.select("node").distinct().join(nodes.select("node", "one.did", "one.rk"), "node"), "wanted")
+        if wanted.count() <= BROADCAST_NODES:
+            wanted = F.broadcast(wanted)
+        small_batches(spark, 256)
+        keyed = text.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "rk", "text").join(wanted, ["did", "rk"]).select("node", "text")
+        fine = tmp.keep(keyed.mapInArrow(_resketch, "node long, sig binary").groupBy("node").agg(F.first("sig").alias("sig")), "fine")  # equal nodes, equal words
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+        inside = _mixed(tmp, _buckets(tmp, fine, ROWS2), classes)
         sizes = inside.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        main = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("x")).select("band", F.col("x.component").alias("main"))
         tagged = tmp.keep(inside.join(tmp.keep(main, "main"), "band"), "tagged")
         few = tagged.filter("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
         rest = tagged.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
-        cross = few.join(rest, "band").filter("ca <> cb and (cb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        again = tmp.keep(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
-        links = tmp.keep(links.union(_verified(again, sigs)), "links")
+        cross = few.join(rest, (few.band == rest.band) & F.expr("ca <> cb and (cb = main or a < b)")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = tmp.keep(links.union(_verified(tmp.keep(cross, "cross"), fine, AGREE2)), "links")
         classes = tmp.keep(components(links, "a", "b"), "classes")
     small_batches(spark)
     of = nodes.select("k1", "k2", "node", "first_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
