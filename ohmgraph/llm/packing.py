@@ -128,8 +128,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = tmp.keep(dealt.withColumn("before", before), "counts")  # at most capacity x salts rows
     counts = {r.length: int(r.n) for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    # merged, not broadcast: the pieces are dealt by (length, salt) for the ranks anyway
     by = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("rn", F.row_number().over(by) - 1).join(base.select("length", "salt", "before"), ["length", "salt"]).withColumn("rank", F.col("rn") + F.col("before"))
+    ranked = salted.withColumn("rn", F.row_number().over(by) - 1).join(base.select("length", "salt", "before").hint("merge"), ["length", "salt"]).withColumn("rank", F.col("rn") + F.col("before"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     out = ranked.select(*_PIECE.names, "rank").mapInArrow(_slots(plan(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out
