@@ -43,7 +43,7 @@ def proteins(spark: SparkSession, path: str, tax_ids: list[str]) -> DataFrame:
     e = entries(spark, path, tax_ids)
     full = _described(r"RecName: Full=([^;]*);")
     alt = F.concat(_described(r"AltName: Full=([^;]*);"), _described(r"(?:^|\n)\s*Short=([^;]*);"))
-    acc = F.filter(F.transform(F.split(F.array_join(_lines("AC   "), " "), ";"), F.trim), lambda x: x != "")
+    acc = F.filter(F.transform(F.split(F.array_join(_lines("AC   "), " "), ";"), lambda x: F.trim(x)), lambda x: x != "")
     embl = F.filter(F.transform(F.filter(_lines("DR   "), lambda x: F.startswith(x, F.lit("EMBL;"))), lambda x: F.transform(F.split(x, ";"), lambda y: F.regexp_replace(F.trim(y), r"\.$", ""))), lambda p: ~F.array_contains(p, "ChEMBL"))
     structs = F.transform(embl, lambda p: F.struct(F.get(p, F.lit(1)).alias("accession"), F.get(p, F.lit(2)).alias("id"), F.get(p, F.lit(3)).alias("status"), F.coalesce(F.get(p, F.lit(4)), F.lit("")).alias("type")))
     return e.select(
