@@ -35,9 +35,9 @@ K = ROWS * BANDS
 #: Share of equal coordinates that makes a link. The similarity asked for is 0.8; the estimate's standard
 #: deviation there is sqrt(0.16 / K) = 0.025, and two of them are allowed for.
 AGREE = 0.75
-#: The second look: a pair of similarity 0.8 shares a band with probability 0.993; the deviation is 0.009.
-ROWS2, BANDS2 = 15, 140
-K2 = ROWS2 * BANDS2
+#: The second look: a pair of similarity 0.8 shares a band with probability 0.997, one of 0.65 with 0.09; the deviation is 0.009.
+#: Each coordinate is in five bands, by five ways of dealing them out.
+ROWS2, WAYS2, K2 = 20, 5, 2100
 AGREE2 = 0.775
 #: Pairs of the second look agree in at least this share of the first, short signatures (0.8 less 3.5 deviations)
 #: before the long ones are brought together.
@@ -122,19 +122,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _bands(rows: int):
+def _bands(rows: int, ways: int = 1):
+    """Every way deals all coordinates out to bands: the first in order, the others by permutations."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             m = _matrix(batch.column("sig"))
-            n = m.shape[1] // rows
-            m = m.reshape(-1, n, rows).astype(_U)
+            k = m.shape[1]
+            dealt = np.stack([np.arange(k), *(np.random.default_rng(w).permutation(k) for w in range(1, ways))])
+            dealt = dealt[:, : k // rows * rows].reshape(-1, rows)
+            n = len(dealt)
             with np.errstate(over="ignore"):
-                acc = np.broadcast_to(textops.mix(np.arange(1, n + 1).astype(_U)), m.shape[:2])
+                acc = np.broadcast_to(textops.mix(np.arange(1, n + 1).astype(_U)), (len(m), n))
                 for r in range(rows):
-                    acc = textops.mix(acc * textops.MUL + m[:, :, r])
-            yield pa.record_batch([pa.array(np.repeat(batch.column("node").to_numpy(), n)), pa.array(acc.ravel().view(np.int64))], names=["node", "band"])
+                    acc = textops.mix(acc * textops.MUL + m[:, dealt[:, r]].astype(_U))
+            names = [c for c in batch.schema.names if c != "sig"]
+            yield pa.record_batch([*(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in names), pa.array(acc.ravel().view(np.int64))], names=[*names, "band"])
 
     return run
 
@@ -165,11 +170,30 @@ def _buckets(tmp: Scratch, sigs: DataFrame, rows: int) -> DataFrame:
     return out
 
 
-def _mixed(tmp: Scratch, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(band, node, component) of buckets that hold several components."""
-    known = members.select("band", "node").join(classes, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    bands = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    return tmp.keep(known.join(tmp.keep(bands, "mixed"), "band"), "inside")
+def _classed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """``nodes`` with their component; a node without a link is its own."""
+    return nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _undecided(tmp: Scratch, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node) of buckets that hold several components."""
+    known = tmp.keep(_classed(members.select("band", "node"), classes), "known")
+    mixed = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
+    return tmp.keep(known.join(mixed, "band", "left_semi").select("node").distinct(), "undecided")
+
+
+def _across(tmp: Scratch, sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a sharp band and of different components: each member outside the band's largest component, with all of others."""
+    bands = tmp.keep(_classed(sigs, classes).mapInArrow(_bands(ROWS2, WAYS2), "node long, component long, band long"), "bands")
+    sizes = bands.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("x"))
+    main = tmp.keep(main.filter("components > 1").select("band", F.col("x.component").alias("main")), "main")
+    tagged = tmp.keep(bands.join(main, "band"), "tagged")
+    tmp.drop(bands)
+    few = tagged.filter("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
+    rest = tagged.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
+    cross = few.join(rest, (few.band == rest.band) & F.expr("ca <> cb and (cb = main or a < b)"))
+    return tmp.keep(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -195,27 +219,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
     pairs = members.join(tmp.keep(leads, "leads"), "band").filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     links = tmp.keep(_verified(tmp.keep(pairs, "pairs"), sigs, AGREE), "links")
     classes = tmp.keep(components(links, "a", "b"), "classes")
-    inside = _mixed(tmp, members, classes)
-    if not inside.isEmpty():
-        wanted = tmp.keep(inside.select("node").distinct().join(nodes.select("node", "one.did", "one.rk"), "node"), "wanted")
+    undecided = _undecided(tmp, members, classes)
+    if not undecided.isEmpty():
+        wanted = tmp.keep(undecided.join(nodes.select("node", "one.did", "one.rk"), "node"), "wanted")
         if wanted.count() <= BROADCAST_NODES:
             wanted = F.broadcast(wanted)
         small_batches(spark, 256)
         keyed = text.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "rk", "text").join(wanted, ["did", "rk"]).select("node", "text")
         fine = tmp.keep(keyed.mapInArrow(_resketch, "node long, sig binary").groupBy("node").agg(F.first("sig").alias("sig")), "fine")  # equal nodes, equal words
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        cross = _across(tmp, fine, classes)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-        inside = _mixed(tmp, _buckets(tmp, fine, ROWS2), classes)
-        sizes = inside.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("x")).select("band", F.col("x.component").alias("main"))
-        tagged = tmp.keep(inside.join(tmp.keep(main, "main"), "band"), "tagged")
-        few = tagged.filter("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
-        rest = tagged.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
-        cross = few.join(rest, (few.band == rest.band) & F.expr("ca <> cb and (cb = main or a < b)")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = tmp.keep(_verified(tmp.keep(cross, "cross"), sigs, ROUGH), "likely")
+        likely = tmp.keep(_verified(cross, sigs, ROUGH), "likely")
         links = tmp.keep(links.union(_verified(likely, fine, AGREE2)), "links")
         classes = tmp.keep(components(links, "a", "b"), "classes")
     small_batches(spark)
-    of = nodes.select("k1", "k2", "node", "first_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = _classed(nodes.select("k1", "k2", "node", "first_id"), classes)
     least = tmp.keep(of.groupBy("component").agg(F.min("first_id").alias("class_id")), "least")
     label = tmp.keep(of.join(least, "component").select("k1", "k2", "class_id"), "labels")
     named = rows.filter("words > 0").select("doc_id", "words", "rk", "k1", "k2").join(label, ["k1", "k2"]).select("doc_id", "class_id", "words", "rk")
