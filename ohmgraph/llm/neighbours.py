@@ -22,7 +22,7 @@ from ohmgraph.llm.common import Scratch, table
 TREES, BITS, SEED = 96, 16, 5
 BLOCK, QUERY_BLOCK = 16_384, 1024
 #: Share of a block whose rows, counted once for each tree that offers them, are enough per SPREAD.
-REACH, SPREAD, LEAST = 0.45, 1.3, 400
+REACH, SPREAD, LEAST = 0.45, 1.3, 2000
 K = 20
 _POOL = 12
 
