@@ -8,11 +8,12 @@ in a coordinate with probability equal to their similarity. Ranks are generated
 document is hit: about K ln K darts for a document, not K hashes for each shingle.
 
 Documents of equal words are one node. Nodes that share a band of ``ROWS`` coordinates are compared, by their whole signatures, with the
-node of their bucket that meets most others; those that agree in at least ``AGREE`` of the coordinates are linked, and components of links are formed. A bucket of
+node of their bucket that meets most others. Those that agree in at least ``AGREE`` of the coordinates are candidates; the shingles of both texts are
+counted, and only a similarity of ``SIMILAR`` and more makes a link. Components of links are formed. A bucket of
 one family thus costs one comparison for each member. Where a bucket still holds several components, its members get signatures of ``K2``
 coordinates and sharper bands of ``ROWS2``, which few pairs below the similarity asked for share; within these every member outside the
 largest component is compared with all members of other components, so no link is lost to the choice of the first
-comparison. Classes are connected components.
+comparison; here too the counts of shingles decide. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from ohmgraph.operators.components import components
 
 SHINGLE, ROWS, BANDS = 5, 7, 36
 K = ROWS * BANDS
-#: Share of equal coordinates that makes a link. The similarity asked for is 0.8; the estimate's standard
-#: deviation there is sqrt(0.16 / K) = 0.025, and two of them are allowed for.
+#: The similarity that makes a link, by the counts of shingles.
+SIMILAR = 0.8
+#: Share of equal coordinates that makes a candidate. The estimate's standard
+#: deviation at 0.8 is sqrt(0.16 / K) = 0.025, and two of them are allowed for.
 AGREE = 0.75
 #: The second look: a pair of similarity 0.8 shares a band with probability 0.997, one of 0.65 with 0.09; the deviation is 0.009.
 #: Each coordinate is in five bands, by five ways of dealing them out.
@@ -64,6 +67,18 @@ def _thresholds(rate: float) -> np.ndarray:
 _SLABS = [(_FIRST, _thresholds(_FIRST))] + [(_FIRST * 2**s, _thresholds(_FIRST * 2**s)) for s in range(14)]
 
 
+def _cells(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, text) of each unit of weight, in the order of texts: the set of cells of a text is its multiset of shingles."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.arange(len(h))
+    unit = at - np.maximum.accumulate(np.where(fresh, at, 0))  # the how-manieth copy of the shingle
+    with np.errstate(over="ignore"):
+        return textops.mix(h + unit.astype(_U) * _U(0xD6E8FEB86659FD93)), doc
+
+
 def signatures(h: np.ndarray, doc: np.ndarray, n: int, k: int = K) -> np.ndarray:
     """(n, k) fingerprints, a byte each, of the earliest dart of each coordinate; documents without a shingle have zeros.
 
@@ -71,13 +86,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: int, k: int = K) -> np.ndarray
     """
     sig = np.full(n * k, _EMPTY)
     with np.errstate(over="ignore"):
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        at = np.arange(len(h))
-        unit = at - np.maximum.accumulate(np.where(fresh, at, 0))  # the how-manieth copy of the shingle
-        cell = textops.mix(h + unit.astype(_U) * _U(0xD6E8FEB86659FD93))
+        cell, doc = _cells(h, doc)
         for slab, (_, thr) in enumerate(_SLABS):
             u = textops.mix(cell ^ _U((slab + 1) * 0xA0761D6478BD642F % 2**64))
             hit = np.flatnonzero(u >= thr[0])
@@ -118,6 +127,26 @@ def _resketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("node").slice(a, b - a), pa.array([r.tobytes() for r in sig], pa.binary())], names=["node", "sig"])
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, off in textops.chunks(batch.column("text"), 1 << 19):
+            h, doc = textops.words(data, off)
+            cell, of = _cells(*textops.shingles(h, doc, b - a, SHINGLE))
+            cut = np.searchsorted(of, np.arange(b - a + 1))
+            yield pa.record_batch([batch.column("node").slice(a, b - a), pa.array([np.sort(cell[cut[i] : cut[i + 1]]).tobytes() for i in range(b - a)], pa.binary())], names=["node", "cells"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = []
+        for x, y in zip(batch.column("cells_a"), batch.column("cells_b"), strict=True):
+            x, y = (np.frombuffer(c.as_buffer(), _U) for c in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(both >= SIMILAR * (len(x) + len(y) - both))
+        i = pa.array(np.flatnonzero(ok))
+        yield pa.record_batch([batch.column("a").take(i), batch.column("b").take(i)], names=["a", "b"])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
@@ -161,6 +190,25 @@ def _verified(pairs: DataFrame, sigs: DataFrame, share: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(share), "a long, b long")
 
 
+def _texts(tmp: Scratch, text: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of ``wanted``; rows of equal id and text repeat a node."""
+    wanted = tmp.keep(wanted.join(nodes.select("node", "one.did", "one.rk"), "node"), "wanted")
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    return text.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "rk", "text").join(wanted, ["did", "rk"]).select("node", "text")
+
+
+def _counted(tmp: Scratch, text: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose counts of shingles are similar."""
+    small_batches(tmp.spark, 256)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    cells = tmp.keep(_texts(tmp, text, nodes, wanted).mapInArrow(_count, "node long, cells binary").groupBy("node").agg(F.first("cells").alias("cells")), "cells")  # equal nodes, equal words
+    a, b = (cells.select(F.col("node").alias(x), F.col("cells").alias(f"cells_{x}")) for x in "ab")
+    out = tmp.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "cells_a", "cells_b").mapInArrow(_similar, "a long, b long"), "counted")
+    tmp.drop(cells)
+    return out
+
+
 def _buckets(tmp: Scratch, sigs: DataFrame, rows: int) -> DataFrame:
     """(band, node, n): members of bands that several nodes share, with the size of the bucket."""
     bands = tmp.keep(sigs.mapInArrow(_bands(rows), "node long, band long"), "bands")
@@ -217,21 +265,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     central = tmp.keep(members.groupBy("node").agg(F.sum("n").alias("met")), "central")
     leads = members.join(central, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("x")).select("band", F.col("x.node").alias("lead"))
     pairs = members.join(tmp.keep(leads, "leads"), "band").filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-    links = tmp.keep(_verified(tmp.keep(pairs, "pairs"), sigs, AGREE), "links")
+    links = _counted(tmp, text, nodes, tmp.keep(_verified(tmp.keep(pairs, "pairs"), sigs, AGREE), "candidates"))
     classes = tmp.keep(components(links, "a", "b"), "classes")
     undecided = _undecided(tmp, members, classes)
     if not undecided.isEmpty():
-        wanted = tmp.keep(undecided.join(nodes.select("node", "one.did", "one.rk"), "node"), "wanted")
-        if wanted.count() <= BROADCAST_NODES:
-            wanted = F.broadcast(wanted)
         small_batches(spark, 256)
-        keyed = text.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "rk", "text").join(wanted, ["did", "rk"]).select("node", "text")
-        fine = tmp.keep(keyed.mapInArrow(_resketch, "node long, sig binary").groupBy("node").agg(F.first("sig").alias("sig")), "fine")  # equal nodes, equal words
+        fine = tmp.keep(_texts(tmp, text, nodes, undecided).mapInArrow(_resketch, "node long, sig binary").groupBy("node").agg(F.first("sig").alias("sig")), "fine")  # equal nodes, equal words
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         cross = _across(tmp, fine, classes)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
         likely = tmp.keep(_verified(cross, sigs, ROUGH), "likely")
-        links = tmp.keep(links.union(_verified(likely, fine, AGREE2)), "links")
+        links = links.union(_counted(tmp, text, nodes, tmp.keep(_verified(likely, fine, AGREE2), "candidates")))
         classes = tmp.keep(components(links, "a", "b"), "classes")
     small_batches(spark)
     of = _classed(nodes.select("k1", "k2", "node", "first_id"), classes)
