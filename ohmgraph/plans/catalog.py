@@ -249,9 +249,9 @@ query("limited_flow_tensions", f"WITH {_LIM} SELECT 0 AS sample_id, 4000000000 +
 
 @query("flow_supply_graph")
 def flow_supply_graph(s: SparkSession, p: str) -> DataFrame:
-    """Flow between all suppliers through the supply graph, under a budget of 500 pairs: nodes by current."""
+    """Flow between all suppliers through the supply graph, of all pairs where they fit ``samples.BUDGET``: nodes by current."""
     sup = d.table(s, p, "supplier").select(F.lit(0).cast("long").alias("sample_id"), F.lit("primary").alias("role"), d.node(d.SUPPLIER, "s_suppkey").alias("node_id"), F.lit(1.0).alias("weight"))
-    rounds = sm.reduce_ops(sup.count(), budget=500)
+    rounds = sm.reduce_ops(sup.count())
     return fl.flow(d.supply_network(s, p), sm.flow_pairs(sup, rounds)).nodes().orderBy(F.desc("current"), "node_id")
 
 
