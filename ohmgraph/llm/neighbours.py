@@ -1,102 +1,241 @@
 """Approximate nearest neighbours by inner product with a forest of sorted hash strings.
 
-Vectors get one more component so that all have equal length (the largest inner product is then the smallest angle; queries get
-0 there). Each of ``TREES`` trees gives a vector a string of ``BITS`` bits, the signs of random projections; a tree is the sorted array of
-these strings. A query descends to its longest matching prefix in every tree by binary search, then all trees ascend together, bit by bit,
-until the ranges of the shared prefix length together hold enough rows: ``SPREAD`` times the share ``REACH`` of the
-block, duplicates counted, and at least ``LEAST`` rows. All rows of these ranges are candidates, without a cap, and are ranked by their exact inner product.
-
-Vectors are dealt into blocks of about ``BLOCK`` rows and queries into blocks of about ``QUERY_BLOCK``; every pair of blocks is one task's work with its own forest over
-the block, so that memory is bounded and every row is indexed. Each query then merges its few best of each block.
+Strings: a vector gets one more component so that all of a band have equal length (the largest inner product is then the smallest
+angle; queries get 0 there). A tree rotates it at random and writes down its ``SYMBOLS`` largest coordinates, largest first, each
+with its sign: a string of 7-bit symbols, in which near vectors share long prefixes. A tree is the array of these strings, sorted and range-partitioned into
+parts of about ``PART_ROWS`` rows, which carry the vectors as bytes.
+
+Search: in each tree a query reads prefixes of the depth at which few rows share one, in the order of its own projections: its own prefix first, then those that
+it nearly has. All trees ascend together: one threshold for all of them, lowered until the prefixes above it hold
+``REACH`` * rows ** ``POWER`` rows. Where a prefix is shared by more than ``DENSE`` rows of a part, the query descends along its own symbols to the longest
+prefix that holds as many. Rows of these ranges, and only they, are scored, roughly; the ``POOL`` best of each query are scored again in double precision.
+A query that finds too few rows ascends by one symbol more until it has enough, in the end to the whole tree.
+
+Sizes: the index has ``TREES`` short rows for each vector, and a query goes to the parts that hold its prefixes, so both grow in
+proportion to the table. Vectors are banded by length (factors of two, eight bands), so that one long vector
+doesn't make all others look alike. Equal vectors are one node. A part that many queries ask for is given to several tasks.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ohmgraph.llm.common import Scratch, table
 
-TREES, BITS, SEED = 96, 16, 5
-BLOCK, QUERY_BLOCK = 16_384, 1024
-#: Share of a block whose rows, counted once for each tree that offers them, are enough per SPREAD.
-REACH, SPREAD, LEAST = 0.45, 1.3, 2000
-K = 20
-_POOL = 12
+TREES, SYMBOLS, COORDINATES, SEED = 32, 8, 64, 5
+REACH, POWER = 19.0, 0.55
+#: Rows of a table so small that a query reads about as many rows, counted once for each tree that offers them.
+SMALL = 2048
+#: Rows that share a prefix on average, at most; prefixes that a query reads in one round, at most; paths followed in a tree.
+SHARED, PROBES, BEAM = 64, 16_384, 1024
+DENSE, PART_ROWS, SAMPLE, QUERY_BLOCK = 4096, 262_144, 20_000, 100_000
+K, POOL, BANDS = 20, 64, 8
+_LATER = 0.9
 
 
-def planes(dim: int, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(dim + 1, trees * bits)).astype(np.float32)
+def rotation(tree: int, dim: int) -> np.ndarray:
+    """(dim, COORDINATES); orthogonal columns where there is room for them."""
+    g = np.random.default_rng((SEED, tree)).normal(size=(dim, COORDINATES))
+    return (np.linalg.qr(g)[0] if dim >= COORDINATES else g / math.sqrt(dim)).astype(np.float32)
 
 
-def strings(x: np.ndarray, p: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
-    """(trees, rows) bit strings as integers, first bit highest."""
-    out = np.empty((trees, len(x)), np.int64)
-    place = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
-    for a in range(0, len(x), 4096):
-        sign = (x[a : a + 4096].astype(np.float32) @ p > 0).reshape(-1, trees, bits)
-        out[:, a : a + 4096] = (sign @ place).T
-    return out
+def symbols(y: np.ndarray, count: int = SYMBOLS) -> np.ndarray:
+    """(rows, count) of rotated vectors: twice the coordinate, plus one for a positive one; larger coordinates first."""
+    a = np.abs(y)
+    top = np.argpartition(-a, count - 1, axis=1)[:, :count]
+    top = np.take_along_axis(top, np.lexsort((top, -np.take_along_axis(a, top, 1)), axis=1), 1)
+    return top * 2 + (np.take_along_axis(y, top, 1) > 0)
+
+
+def strings(sym: np.ndarray) -> np.ndarray:
+    """Symbols as one integer, first symbol highest."""
+    return (sym.astype(np.int64) << (7 * np.arange(sym.shape[1] - 1, -1, -1))).sum(axis=1)
+
+
+def paths(y: np.ndarray, depth: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, up to beam) prefixes of ``depth`` symbols and their scores: sums of the query's coordinates, later symbols counting less."""
+    n = len(y)
+    both = np.stack([-y, y], axis=2).reshape(n, -1)
+    first = np.argsort(-both, axis=1, kind="stable")[:, :48]
+    value = np.take_along_axis(both, first, 1)
+    prefix, score, used = first.astype(np.int64), value.copy(), [first // 2]
+    for d in range(1, depth):
+        more = score[:, :, None] + _LATER**d * value[:, None, :]
+        for u in used:  # a coordinate comes once
+            more[u[:, :, None] == (first // 2)[:, None, :]] = -np.inf
+        flat = more.reshape(n, -1)
+        take = min(beam, flat.shape[1])
+        best = np.argpartition(-flat, take - 1, axis=1)[:, :take]
+        old, new = best // first.shape[1], best % first.shape[1]
+        score = np.take_along_axis(flat, best, 1)
+        sym = np.take_along_axis(first, new, 1)
+        prefix = np.take_along_axis(prefix, old, 1) << 7 | sym
+        used = [*(np.take_along_axis(u, old, 1) for u in used), sym // 2]
+    return prefix, score
+
+
+class Band:
+    """What is known of the vectors of a range of lengths: rows, the greatest length, and how deep and far a query reads."""
+
+    def __init__(self, band: int, rows: int, longest: float):
+        self.band, self.rows, self.longest = band, rows, longest
+        self.depth = 1 if rows < SMALL / 2 else 2
+        while self.depth < SYMBOLS and rows / (2 * COORDINATES) ** self.depth > SHARED:
+            self.depth += 1
+        self.want = max(REACH * rows**POWER, min(rows, SMALL))
+
+    def probes(self, depth: int) -> int:
+        return int(min(max(self.want / (self.rows / (2 * COORDINATES) ** depth), 1), PROBES))
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def _index(bands: dict[int, Band], splits: dict[int, np.ndarray]):
+    """Each vector once for each tree: (key, part, string, node, code, scale), code its components as signed bytes times scale."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn: list[np.ndarray] = []
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                v, norm, band = _rows(batch.column("v")), batch.column("norm").to_numpy(), batch.column("band").to_numpy()
+                turn = turn or [rotation(t, v.shape[1] + 1) for t in range(TREES)]
+                longest = np.array([bands[b].longest for b in band])
+                share = norm / longest
+                x = np.column_stack([v / longest[:, None], np.sqrt(np.maximum(1 - share**2, 0))]).astype(np.float32)
+                scale = np.abs(v).max(axis=1) / 127
+                code = np.rint(v / np.maximum(scale, 5e-324)[:, None]).clip(-127, 127).astype(np.int8)
+                codes = pa.array([c.tobytes() for c in code], pa.binary())
+                for t in range(TREES):
+                    s = strings(symbols(x @ turn[t]))
+                    key = band.astype(np.int64) * TREES + t
+                    part = np.zeros(len(s), np.int32)
+                    for k in np.unique(key):
+                        if k in splits:
+                            at = key == k
+                            part[at] = np.searchsorted(splits[k], s[at], side="right")
+                    yield pa.record_batch([pa.array(key.astype(np.int32)), pa.array(part), pa.array(s), batch.column("node"), codes, pa.array(scale)], names=["key", "part", "string", "node", "code", "scale"])
+
+    return run
 
 
-class Forest:
-    def __init__(self, x: np.ndarray, longest: float, trees: int = TREES, bits: int = BITS):
-        self.x, self.bits, self.trees = x, bits, trees
-        self.p = planes(x.shape[1], trees, bits)
-        unit = x / longest
-        rest = np.sqrt(np.maximum(1 - (unit**2).sum(axis=1), 0))
-        code = strings(np.column_stack([unit, rest]), self.p, trees, bits)
-        self.order = np.argsort(code, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(code, self.order, axis=1)
-
-    def candidates(self, q: np.ndarray) -> np.ndarray:
-        """(queries, rows): which rows the ascent reaches."""
-        unit = q / np.linalg.norm(q, axis=1)[:, None]
-        code = strings(np.column_stack([unit, np.zeros(len(q))]), self.p, self.trees, self.bits)
-        n = len(self.x)
-        want = min(max(REACH * SPREAD * n, LEAST), n * self.trees)
-        open_q = np.arange(len(q))
-        lo, hi = np.zeros((self.trees, len(q)), np.int64), np.full((self.trees, len(q)), n, np.int64)
-        for shift in range(self.bits):  # from whole strings up to ever shorter prefixes
-            left = np.stack([np.searchsorted(self.sorted[t], code[t, open_q] >> shift << shift) for t in range(self.trees)])
-            right = np.stack([np.searchsorted(self.sorted[t], (code[t, open_q] >> shift) + 1 << shift) for t in range(self.trees)])
-            lo[:, open_q], hi[:, open_q] = left, right
-            open_q = open_q[(right - left).sum(axis=0) < want]
-            if not len(open_q):
-                break
-        else:
-            lo[:, open_q], hi[:, open_q] = 0, n
-        found = np.zeros((len(q), n), bool)
-        for i in range(len(q)):
-            row = found[i]
-            for t in range(self.trees):
-                row[self.order[t, lo[t, i] : hi[t, i]]] = True
-        return found
-
-
-def search(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, longest: float, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of the nearest candidates of a block, up to k for each query, nearest first."""
-    forest = Forest(x, longest)
-    out: tuple[list, list, list] = ([], [], [])
-    for a in range(0, len(q), 256):
-        part, own = q[a : a + 256], qid[a : a + 256]
-        found = forest.candidates(part)
-        found &= ids[None, :] != own[:, None]
-        score = np.where(found, part @ x.T, -np.inf)
-        take = min(k + _POOL, len(x))
-        best = np.argpartition(-score, take - 1, axis=1)[:, :take]
-        for i in range(len(part)):
-            at = best[i][np.isfinite(score[i, best[i]])]
-            if len(at) == take < len(x):  # rows that tie with the last one are looked at too
-                at = np.flatnonzero(score[i] >= score[i, at].min() - 1e-12)
-            exact = (x[at] * part[i]).sum(axis=1)
-            first = np.lexsort((ids[at], -exact))[:k]
-            out[0].append(np.full(len(first), own[i]))
-            out[1].append(ids[at[first]])
-            out[2].append(exact[first])
-    return tuple(np.concatenate([*o, np.empty(0, t)]) for o, t in zip(out, (np.int64, np.int64, float), strict=True))
+def _probe(bands: dict[int, Band], splits: dict[int, np.ndarray], less: int):
+    """Each query once for each part that it reads: (key, part, query, own, low, high, q), the ranges of strings [low, high) there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn: list[np.ndarray] = []
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                v, norm, ids = _rows(batch.column("v")), batch.column("norm").to_numpy(), batch.column("node").to_pylist()
+                turn = turn or [rotation(t, v.shape[1] + 1) for t in range(TREES)]
+                unit = v / norm[:, None]
+                x = np.column_stack([unit, np.zeros(len(v))]).astype(np.float32)
+                y = [x @ r for r in turn]
+                own = [strings(symbols(a)) for a in y]
+                raw = [r.tobytes() for r in unit.astype(np.float32)]
+                rows = []
+                for b in bands.values():
+                    depth = max(b.depth - less, 0)
+                    if depth == 0:
+                        rows += [(b.band * TREES, p, ids[i], int(own[0][i]), [0], [1 << 7 * SYMBOLS], raw[i]) for i in range(len(v)) for p in range(len(splits.get(b.band * TREES, ())) + 1)]
+                        continue
+                    found = [paths(a, depth) for a in y]
+                    prefix, score = np.concatenate([p for p, _ in found], axis=1), np.concatenate([s for _, s in found], axis=1)
+                    tree = np.repeat(np.arange(TREES), [p.shape[1] for p, _ in found])
+                    take = min(b.probes(depth), prefix.shape[1])
+                    best = np.argpartition(-score, take - 1, axis=1)[:, :take]  # one threshold for all trees
+                    shift = 7 * (SYMBOLS - depth)
+                    for i in range(len(v)):
+                        for t, cells in _by_tree(tree[best[i]], prefix[i, best[i]]):
+                            key, low, high = b.band * TREES + t, cells << shift, cells + 1 << shift
+                            if key not in splits:
+                                rows.append((key, 0, ids[i], int(own[t][i]), low, high, raw[i]))
+                                continue
+                            p0, p1 = np.searchsorted(splits[key], low, side="right"), np.searchsorted(splits[key], high - 1, side="right")
+                            for p in range(p0.min(), p1.max() + 1):
+                                at = (p0 <= p) & (p <= p1)
+                                if at.any():
+                                    rows.append((key, p, ids[i], int(own[t][i]), low[at], high[at], raw[i]))
+                if rows:
+                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "part", "query", "own", "low", "high", "q"])
+
+    return run
+
+
+def _by_tree(tree: np.ndarray, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.lexsort((cells, tree))
+    tree, cells = tree[order], cells[order]
+    cut = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1], True])
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(tree[a]), cells[a:b]
+
+
+def _narrowed(array: np.ndarray, low: int, high: int, own: int) -> tuple[int, int]:
+    """Places of the longest prefix below [low, high) along the query's own symbols that still holds DENSE rows."""
+    a, b = np.searchsorted(array, [low, high])
+    step = (high - low).bit_length() - 1
+    prefix = low >> step
+    have = {prefix >> 7 * k & 127 for k in range(SYMBOLS - step // 7)}
+    for k in range(SYMBOLS - 1, -1, -1):
+        s = own >> 7 * k & 127
+        if step == 0 or b - a <= DENSE:
+            break
+        if s in have:
+            continue
+        step -= 7
+        prefix = prefix << 7 | s
+        c, d = np.searchsorted(array, [prefix << step, prefix + 1 << step])
+        if d - c < DENSE:
+            break
+        a, b = c, d
+    return int(a), int(b)
+
+
+def _read():
+    """The ``POOL`` best rows of each query in a part of a tree, by rough scores, with the number of rows read."""
+    schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("rough", pa.float64()), ("read", pa.int64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        string = left.column("string").to_numpy()
+        order = np.argsort(string, kind="stable")
+        string, node = string[order], left.column("node").to_numpy()[order]
+        code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.int8).reshape(len(order), -1)[order]
+        scale = left.column("scale").to_numpy()[order]
+        out: list[tuple] = []
+        for row in range(right.num_rows):
+            low, high = (right.column(c)[row].values.to_numpy() for c in ("low", "high"))
+            a, b = np.searchsorted(string, low), np.searchsorted(string, high)
+            for i in np.flatnonzero(b - a > DENSE):
+                a[i], b[i] = _narrowed(string, int(low[i]), int(high[i]), right.column("own")[row].as_py())
+            size = b - a
+            total = int(size.sum())
+            if not total:
+                continue
+            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(total)
+            q = np.frombuffer(right.column("q")[row].as_buffer(), np.float32)
+            rough = (code[at].astype(np.float32) @ q) * scale[at]
+            if total > POOL:
+                best = np.argpartition(-rough, POOL - 1)[:POOL]
+                at, rough = at[best], rough[best]
+            out.append((np.full(len(at), right.column("query")[row].as_py()), node[at], rough, np.full(len(at), total)))
+        if not out:
+            return schema.empty_table()
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=schema)
+
+    return run
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -106,42 +245,95 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(ok).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _block(longest: float):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        left, right = left.sort_values("vec_id"), right.sort_values("vec_id")
-        got = search(left.vec_id.to_numpy(), np.stack(left.v.to_numpy()), right.vec_id.to_numpy(), np.stack(right.v.to_numpy()), longest)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
+def _nodes(rows: DataFrame, k: int) -> DataFrame:
+    """(node, v, ids, norm): distinct vectors with their k + 1 smallest ids, of which node is the first."""
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("rn") <= k + 1)
+    nodes = first.groupBy("v").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    top = F.array_max(F.transform("v", F.abs))
+    norm = F.col("top") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + (c / F.col("top")) * (c / F.col("top"))))
+    return nodes.withColumn("top", top).withColumn("norm", F.greatest(F.least(norm, F.lit(1.7e308)), F.lit(5e-324))).select("node", "v", "ids", "norm")
 
-    return run
+
+def _splits(nodes: DataFrame, bands: dict[int, Band], part_rows: int) -> dict[int, np.ndarray]:
+    """Where parts begin, for trees of more than ``part_rows`` rows, by a sample of at most ``SAMPLE`` vectors of a band."""
+    out = {}
+    for b in bands.values():
+        parts = -(-b.rows // part_rows)
+        if parts > 1:
+            some = nodes.filter(F.col("band") == b.band).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "v", "norm", "band")
+            got = some.mapInArrow(_index(bands, {}), _INDEX).select("key", "string").toPandas()
+            for key, s in got.groupby("key").string:
+                s = np.sort(s.to_numpy())
+                out[int(key)] = s[np.arange(1, parts) * len(s) // parts]
+    return out
+
+
+_INDEX = "key int, part int, string long, node long, code binary, scale double"
+_PROBE = "key int, part int, query long, own long, low array<long>, high array<long>, q binary"
+
+
+def _joined(tmp: Scratch, index: DataFrame, probes: DataFrame) -> DataFrame:
+    """(query, node, rough, read) of all parts; a part that more than QUERY_BLOCK queries ask for is read by several tasks."""
+    hot = probes.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > QUERY_BLOCK).select("key", "part", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("salts"))
+    hot = F.broadcast(tmp.keep(hot, "hot"))  # at most one row for each QUERY_BLOCK of probes
+    salts = F.coalesce("salts", F.lit(1))
+    left = index.join(hot, ["key", "part"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    right = probes.join(hot, ["key", "part"], "left").withColumn("salt", F.pmod(F.xxhash64("query"), salts).cast("int")).drop("salts")
+    by = ["key", "part", "salt"]
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(_read(), "query long, node long, rough double, read long")
 
 
-def nearest(vectors: DataFrame, query: F.Column, k: int = K) -> DataFrame:
+def nearest(vectors: DataFrame, query: F.Column, k: int = K, part_rows: int = PART_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, the rows for which ``query`` holds (a condition on vec_id).
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part; all others must have the
     commonest number of components, and those of another are left out. Rows of equal vec_id count as one.
-    Equal scores go by vec_id. Other columns are ignored; an empty table gives an empty result.
+    Equal scores go by vec_id; a product beyond the range of a double is infinite and sorts as such, one that isn't a number comes last.
+    Other columns are ignored; an empty table gives an empty result.
     """
     tmp = Scratch(vectors.sparkSession, "neighbours")
     rows = tmp.keep(valid(vectors), "vectors")
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     rows = rows.filter(F.size("v") == (dims.d if dims else 0))
-    stats = rows.agg(F.count(F.lit(1)), F.count(F.when(query, 1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)))).first()
-    n, m, longest = int(stats[0]), int(stats[1]), float(stats[2] or 1.0)
-    blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    deal = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
-    everywhere = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = rows.select("vec_id", "v", deal(blocks, 1).alias("ib"), everywhere(parts).alias("qb"))
-    right = rows.filter(query).select("vec_id", "v", deal(parts, 2).alias("qb"), everywhere(blocks).alias("ib"))
-    found = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInPandas(_block(longest), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    nodes = tmp.keep(_nodes(rows, k), "nodes")
+    longest = nodes.agg(F.max("norm")).first()[0] or 1.0
+    nodes = nodes.withColumn("band", F.least(F.lit(BANDS - 1), F.floor(F.log2(F.lit(longest)) - F.log2("norm"))).cast("int"))
+    bands = {r.band: Band(r.band, r.n, r.longest) for r in nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).orderBy("band").collect()}  # at most BANDS rows
+    total = sum(b.rows for b in bands.values())
+    splits = _splits(nodes, bands, part_rows)
+    index = tmp.keep(nodes.select("node", "v", "norm", "band").mapInArrow(_index(bands, splits), _INDEX), "index")
+    asked = tmp.keep(rows.filter(query).join(nodes.select("v", "node"), "v").select(F.col("vec_id").alias("query_id"), "node"), "asked")
+    hungry = tmp.keep(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "v", "norm"), "queries")
+    found, less = None, 0
+    while True:
+        probes = tmp.keep(hungry.mapInArrow(_probe(bands, splits, less), _PROBE), "probes")
+        got = tmp.keep(_joined(tmp, index, probes), "read")
+        once = got.groupBy("query", "node").agg(F.max("rough").alias("rough"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rough"), "node"))
+        now = tmp.keep(once.withColumn("place", place).filter(F.col("place") <= POOL).select("query", "node"), "pool")
+        found = now if found is None else found.union(now)
+        if less >= max((b.depth for b in bands.values()), default=0):
+            break
+        fed = now.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k + 1, total)).select(F.col("query").alias("node"))
+        hungry = tmp.keep(hungry.join(fed, "node", "left_anti"), "queries")
+        if hungry.isEmpty():
+            break
+        less += 1
+    pairs = found.distinct()
+    a, b = nodes.select(F.col("node").alias("query"), F.col("v").alias("qv")), nodes.select("node", "v", "ids")
+    score = F.aggregate(F.zip_with("v", "qv", lambda x, y: x * y), F.lit(0.0), lambda s, c: s + c)
+    scored = pairs.join(b, "node").join(a, "query").select("query", score.alias("score"), "ids")
+    each = scored.withColumn("vec_id", F.explode("ids")).withColumn("last", F.isnan("score"))
+    order = Window.partitionBy("query").orderBy("last", F.desc("score"), "vec_id")
+    best = each.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
+    lists = tmp.keep(best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near")), "lists")
+    own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = asked.join(lists, F.col("node") == F.col("query")).select("query_id", F.posexplode(own).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-__all__ = ["Forest", "K", "nearest", "query", "search", "valid"]
+__all__ = ["K", "nearest", "query", "valid"]
