@@ -36,7 +36,12 @@ SMALL = 2048
 SHARED, PROBES, BEAM = 64, 16_384, 1024
 DENSE, PART_ROWS, SAMPLE, QUERY_BLOCK = 4096, 262_144, 20_000, 100_000
 K, POOL, BANDS = 20, 64, 8
+#: Rows of a part that a query passes on; a row among a query's best is so in each tree where it is read.
+PART_POOL = 32
 _LATER = 0.9
+_INDEX = "key int, part int, string binary, node binary, code binary, scale binary"
+_PROBE = "key int, part int, query long, own long, low array<long>, step int, q binary"
+_ROUGH = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("rough", pa.float64())])
 
 
 def rotation(tree: int, dim: int) -> np.ndarray:
@@ -100,36 +105,35 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def _index(bands: dict[int, Band], splits: dict[int, np.ndarray]):
-    """Each vector once for each tree: (key, part, string, node, code, scale), code its components as signed bytes times scale."""
+    """Each vector once for each tree: its string, node, and components as signed bytes (code) times scale; a row holds all of a batch that go to one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: list[np.ndarray] = []
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                v, norm, band = _rows(batch.column("v")), batch.column("norm").to_numpy(), batch.column("band").to_numpy()
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                v, norm, band, node = _rows(batch.column("v")), batch.column("norm").to_numpy(), batch.column("band").to_numpy(), batch.column("node").to_numpy()
                 turn = turn or [rotation(t, v.shape[1] + 1) for t in range(TREES)]
                 longest = np.array([bands[b].longest for b in band])
-                share = norm / longest
-                x = np.column_stack([v / longest[:, None], np.sqrt(np.maximum(1 - share**2, 0))]).astype(np.float32)
+                x = np.column_stack([v / longest[:, None], np.sqrt(np.maximum(1 - (norm / longest) ** 2, 0))]).astype(np.float32)
                 scale = np.abs(v).max(axis=1) / 127
                 code = np.rint(v / np.maximum(scale, 5e-324)[:, None]).clip(-127, 127).astype(np.int8)
-                codes = pa.array([c.tobytes() for c in code], pa.binary())
+                rows = []
                 for t in range(TREES):
                     s = strings(symbols(x @ turn[t]))
-                    key = band.astype(np.int64) * TREES + t
-                    part = np.zeros(len(s), np.int32)
-                    for k in np.unique(key):
-                        if k in splits:
-                            at = key == k
-                            part[at] = np.searchsorted(splits[k], s[at], side="right")
-                    yield pa.record_batch([pa.array(key.astype(np.int32)), pa.array(part), pa.array(s), batch.column("node"), codes, pa.array(scale)], names=["key", "part", "string", "node", "code", "scale"])
+                    for b in np.unique(band):
+                        key, own = int(b) * TREES + t, np.flatnonzero(band == b)
+                        part = np.searchsorted(splits[key], s[own], side="right") if key in splits else np.zeros(len(own), int)
+                        for p in np.unique(part):
+                            at = own[part == p]
+                            rows.append((key, p, *(c[at].tobytes() for c in (s, node, code, scale))))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], names=["key", "part", "string", "node", "code", "scale"])
 
     return run
 
 
 def _probe(bands: dict[int, Band], splits: dict[int, np.ndarray], less: int):
-    """Each query once for each part that it reads: (key, part, query, own, low, high, q), the ranges of strings [low, high) there."""
+    """Each query once for each part that it reads: (key, part, query, own, low, step, q), the ranges of strings [low, low + 2**step) there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: list[np.ndarray] = []
@@ -146,29 +150,29 @@ def _probe(bands: dict[int, Band], splits: dict[int, np.ndarray], less: int):
                 rows = []
                 for b in bands.values():
                     depth = max(b.depth - less, 0)
+                    step = 7 * (SYMBOLS - depth)
                     if depth == 0:
-                        rows += [(b.band * TREES, p, ids[i], int(own[0][i]), [0], [1 << 7 * SYMBOLS], raw[i]) for i in range(len(v)) for p in range(len(splits.get(b.band * TREES, ())) + 1)]
+                        rows += [(b.band * TREES, p, ids[i], int(own[0][i]), [0], step, raw[i]) for i in range(len(v)) for p in range(len(splits.get(b.band * TREES, ())) + 1)]
                         continue
                     found = [paths(a, depth) for a in y]
                     prefix, score = np.concatenate([p for p, _ in found], axis=1), np.concatenate([s for _, s in found], axis=1)
                     tree = np.repeat(np.arange(TREES), [p.shape[1] for p, _ in found])
                     take = min(b.probes(depth), prefix.shape[1])
                     best = np.argpartition(-score, take - 1, axis=1)[:, :take]  # one threshold for all trees
-                    shift = 7 * (SYMBOLS - depth)
                     for i in range(len(v)):
                         for t, cells in _by_tree(tree[best[i]], prefix[i, best[i]]):
-                            key, low, high = b.band * TREES + t, cells << shift, cells + 1 << shift
+                            key, low = b.band * TREES + t, cells << step
                             if key not in splits:
-                                rows.append((key, 0, ids[i], int(own[t][i]), low, high, raw[i]))
+                                rows.append((key, 0, ids[i], int(own[t][i]), low, step, raw[i]))
                                 continue
-                            p0, p1 = np.searchsorted(splits[key], low, side="right"), np.searchsorted(splits[key], high - 1, side="right")
+                            p0, p1 = np.searchsorted(splits[key], low, side="right"), np.searchsorted(splits[key], low + (1 << step) - 1, side="right")
                             for p in range(p0.min(), p1.max() + 1):
                                 at = (p0 <= p) & (p <= p1)
                                 if at.any():
-                                    rows.append((key, p, ids[i], int(own[t][i]), low[at], high[at], raw[i]))
+                                    rows.append((key, p, ids[i], int(own[t][i]), low[at], step, raw[i]))
                 if rows:
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "part", "query", "own", "low", "high", "q"])
+                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "part", "query", "own", "low", "step", "q"])
 
     return run
 
@@ -202,40 +206,33 @@ def _narrowed(array: np.ndarray, low: int, high: int, own: int) -> tuple[int, in
     return int(a), int(b)
 
 
-def _read():
-    """The ``POOL`` best rows of each query in a part of a tree, by rough scores, with the number of rows read."""
-    schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("rough", pa.float64()), ("read", pa.int64())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        string = left.column("string").to_numpy()
-        order = np.argsort(string, kind="stable")
-        string, node = string[order], left.column("node").to_numpy()[order]
-        code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.int8).reshape(len(order), -1)[order]
-        scale = left.column("scale").to_numpy()[order]
-        out: list[tuple] = []
-        for row in range(right.num_rows):
-            low, high = (right.column(c)[row].values.to_numpy() for c in ("low", "high"))
-            a, b = np.searchsorted(string, low), np.searchsorted(string, high)
+def _read(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The ``PART_POOL`` best rows of each query in a part of a tree, by rough scores."""
+    if not left.num_rows or not right.num_rows:
+        return _ROUGH.empty_table()
+    string, node, scale, code = (np.frombuffer(b"".join(left.column(c).to_pylist()), t) for c, t in (("string", np.int64), ("node", np.int64), ("scale", float), ("code", np.int8)))
+    order = np.argsort(string, kind="stable")
+    string, node, scale, code = string[order], node[order], scale[order], code.reshape(len(order), -1)[order]
+    out: list[tuple] = []
+    for r in right.select(["query", "own", "low", "step", "q"]).to_batches(max_chunksize=1024):
+        for query, own, lows, step, q in zip(r.column("query").to_pylist(), r.column("own").to_pylist(), r.column("low"), r.column("step").to_pylist(), r.column("q"), strict=True):
+            low = lows.values.to_numpy()
+            a, b = np.searchsorted(string, low), np.searchsorted(string, low + (1 << step))
             for i in np.flatnonzero(b - a > DENSE):
-                a[i], b[i] = _narrowed(string, int(low[i]), int(high[i]), right.column("own")[row].as_py())
+                a[i], b[i] = _narrowed(string, int(low[i]), int(low[i]) + (1 << step), own)
             size = b - a
             total = int(size.sum())
             if not total:
                 continue
             at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(total)
-            q = np.frombuffer(right.column("q")[row].as_buffer(), np.float32)
-            rough = (code[at].astype(np.float32) @ q) * scale[at]
-            if total > POOL:
-                best = np.argpartition(-rough, POOL - 1)[:POOL]
+            rough = (code[at].astype(np.float32) @ np.frombuffer(q.as_buffer(), np.float32)) * scale[at]
+            if total > PART_POOL:
+                best = np.argpartition(-rough, PART_POOL - 1)[:PART_POOL]
                 at, rough = at[best], rough[best]
-            out.append((np.full(len(at), right.column("query")[row].as_py()), node[at], rough, np.full(len(at), total)))
-        if not out:
-            return schema.empty_table()
-        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=schema)
-
-    return run
+            out.append((np.full(len(at), query), node[at], rough))
+    if not out:
+        return _ROUGH.empty_table()
+    return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=_ROUGH)
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -262,25 +259,23 @@ def _splits(nodes: DataFrame, bands: dict[int, Band], part_rows: int) -> dict[in
         if parts > 1:
             some = nodes.filter(F.col("band") == b.band).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "v", "norm", "band")
             got = some.mapInArrow(_index(bands, {}), _INDEX).select("key", "string").toPandas()
-            for key, s in got.groupby("key").string:
-                s = np.sort(s.to_numpy())
+            for key, rows in got.groupby("key").string:
+                s = np.sort(np.frombuffer(b"".join(rows), np.int64))
                 out[int(key)] = s[np.arange(1, parts) * len(s) // parts]
     return out
 
 
-_INDEX = "key int, part int, string long, node long, code binary, scale double"
-_PROBE = "key int, part int, query long, own long, low array<long>, high array<long>, q binary"
 
 
 def _joined(tmp: Scratch, index: DataFrame, probes: DataFrame) -> DataFrame:
-    """(query, node, rough, read) of all parts; a part that more than QUERY_BLOCK queries ask for is read by several tasks."""
+    """(query, node, rough) of all parts; a part that more than QUERY_BLOCK queries ask for is read by several tasks."""
     hot = probes.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > QUERY_BLOCK).select("key", "part", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("salts"))
     hot = F.broadcast(tmp.keep(hot, "hot"))  # at most one row for each QUERY_BLOCK of probes
     salts = F.coalesce("salts", F.lit(1))
     left = index.join(hot, ["key", "part"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     right = probes.join(hot, ["key", "part"], "left").withColumn("salt", F.pmod(F.xxhash64("query"), salts).cast("int")).drop("salts")
     by = ["key", "part", "salt"]
-    return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(_read(), "query long, node long, rough double, read long")
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(_read, "query long, node long, rough double")
 
 
 def nearest(vectors: DataFrame, query: F.Column, k: int = K, part_rows: int = PART_ROWS) -> DataFrame:
