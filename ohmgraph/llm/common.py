@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgraph.scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "fold", "held_out", "labelled_sample", "partitions", "shared_dir", "small_batches", "squeeze", "table"]
+__all__ = ["Scratch", "fold", "free_name", "held_out", "labelled_sample", "numbered", "partitions", "shared_dir", "small", "squeeze", "table"]
 
 #: The white space that the contracts of this subpackage mean: ``[\x20\x09-\x0D]``.
 WS = " \t\n\x0b\x0c\r"
@@ -40,16 +43,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches that stay small even where texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices, so that what a step makes of a batch stays small; Spark bounds a batch by bytes, and its settings are the caller's."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until the caller has no such column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns c_0, c_1, ...; the new name of each old one; and the way back, which drops all other columns.
+
+    So no column of the caller's can clash with one of ours.
+    """
+    new = {c: f"c_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new, lambda out: out.select(*(F.col(n).alias(c) for c, n in new.items()))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled rows outside the held-out quarter.
 
-    The rows are chosen by a hash of their id, so reruns agree; the id list has at most ``bound`` rows and is
-    therefore safe to broadcast, and texts are never shuffled.
+    They are chosen by a hash of their id, so reruns agree; the id list has at most ``bound`` rows and is therefore safe to
+    broadcast. Of several rows of one id the text of the least hash is taken, and of labels the larger one, so no more than ``bound`` texts are shuffled.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -58,4 +80,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.struct(F.xxhash64(text), text.alias("text")).alias("t")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("t").alias("t")).select("doc_id", "t.text", "y")

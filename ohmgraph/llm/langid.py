@@ -1,10 +1,10 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained by backpropagation through time.
 
-A text is read as UTF-8 bytes in windows of ``WINDOW``, forwards and backwards. Each step mixes the state with a candidate
+A text is read as UTF-8 bytes in windows of ``WINDOW``, forwards and backwards; the state starts anew with each window. Each step mixes the state with a candidate
 through an update gate; gate and candidate use the softsign x/(1+|x|), in which numpy is several times as fast as
 in tanh. Both states of a position give its language probabilities; their mean over all positions of the whole text is the
-document's. Training is plain numpy on the driver, on at most ``SAMPLE`` documents outside the held-out quarter (chosen by a hash of
-their id) and ``WINDOWS`` windows of each.
+document's. Training is plain numpy on the driver, on about ``SAMPLE`` documents outside the held-out quarter, as many of each language
+(chosen by a hash of their id), and ``WINDOWS`` windows of each; the languages are those of all learnable documents.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ohmgraph.llm import textops
-from ohmgraph.llm.common import held_out, small_batches, table
+from ohmgraph.llm.common import held_out, small, table
 
 WINDOW, HIDDEN, SAMPLE, WINDOWS = 64, 8, 3000, 8
+#: Documents of a language that are looked at however many languages there are.
+LEAST = 20
 STEPS, BATCH, RATE, SEED = 400, 256, 0.01, 11
 UNKNOWN = "und"
 
@@ -152,7 +154,7 @@ class Net:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Up to WINDOWS windows of a text, spread evenly over it."""
-    for batch in batches:
+    for batch in small(batches):
         lang, got = [], []
         for text, label in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             raw = text.encode()
@@ -165,10 +167,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> Net | None:
     """None where no document has both a language and a text."""
-    small_batches(docs.sparkSession, 256)
-    ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE)
-    chosen = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").join(F.broadcast(ids), "doc_id").select("text", "lang")
-    got = chosen.mapInArrow(_windows, "lang string, raw binary").toPandas().sort_values(["lang", "raw"], kind="stable")  # at most SAMPLE x WINDOWS rows of WINDOW bytes
+    learnable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    pairs = learnable.select("doc_id", "lang").distinct()
+    langs = max(1, pairs.select("lang").distinct().count())
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
+    ids = pairs.withColumn("place", place).filter(F.col("place") <= max(LEAST, SAMPLE // langs)).drop("place")
+    rows = learnable.select("doc_id", "lang", F.struct(F.xxhash64("text"), "text").alias("t")).join(F.broadcast(ids), ["doc_id", "lang"])  # at most SAMPLE ids, or LEAST for each language
+    chosen = rows.groupBy("doc_id", "lang").agg(F.min("t").alias("t")).select("t.text", "lang")
+    got = chosen.mapInArrow(_windows, "lang string, raw binary").toPandas().sort_values(["lang", "raw"], kind="stable")  # at most WINDOWS rows of WINDOW bytes for each
     if not len(got):
         return None
     labels = sorted(got.lang.unique())
@@ -182,7 +188,7 @@ def fit(docs: DataFrame) -> Net | None:
 
 def _predict(net: Net | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             letters = np.array([any(map(str.isalpha, t)) for t in batch.column("text").to_pylist()], bool)
             p = net.documents(batch.column("text")) if net else np.zeros((batch.num_rows, 1))
             best = p.argmax(axis=1) if len(p) else np.empty(0, int)
@@ -200,7 +206,6 @@ def predict(docs: DataFrame, net: Net | None) -> DataFrame:
     from. A null id is never held out; rows of equal id are labelled each for itself; other columns are ignored; an
     empty table gives an empty result.
     """
-    small_batches(docs.sparkSession, 256)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_predict(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -10,7 +10,6 @@ compressed keep bitmap for each document that loses lines.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmgraph.llm.common import NULL_ID, WS, Scratch, partitions, small_batches, table
+from ohmgraph.llm.common import NULL_ID, WS, Scratch, free_name, numbered, partitions, small, table
 
 #: Shorter lines are always kept.
 MIN_POINTS = 10
@@ -35,7 +34,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         did, rk = batch.column("did").to_numpy(), batch.column("rk").to_numpy()
         digest, row, pos = [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
@@ -77,7 +76,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         maps = []
         for drop in batch.column("drop").to_pylist():
             keep = np.ones(max(drop) // 8 * 8 + 8, bool)  # whole bytes: the padding keeps
@@ -89,14 +88,11 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame) -> DataFrame:
     """(did, rk, keep) of each document that loses lines; keep is a zlib-compressed bit string, and lines beyond its end stay."""
     spark = docs.sparkSession
-    small_batches(spark)
     tmp = Scratch(spark, "line-dedup")
     fields = "h1 long, h2 long, did long, rk long, pos int"
     rows = tmp.keep(keyed(docs).mapInArrow(_line_rows, fields), "lines")
     order = ["h1", "h2", "did", "rk", "pos"]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     flags = tmp.keep(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_stream, f"kind byte, {fields}"), "flags")
-    small_batches(spark)
     tmp.drop(rows)
     owners = flags.filter("kind = 2").groupBy("h1", "h2").agg(F.min("did").alias("owner"))  # at most two rows for each range
     late = flags.filter("kind = 1").join(F.broadcast(owners), ["h1", "h2"]).filter("did <> owner")
@@ -106,7 +102,7 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         kept, n, gone = [], [], []
         for text, keep in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist(), strict=True):
             lines = text.split("\n")
@@ -119,31 +115,38 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append("\n".join(lines))
         extra = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("text", "keep", "did", "rk")]
         names = [c for c in batch.schema.names if c not in ("text", "keep", "did", "rk")]
-        yield pa.record_batch([*extra, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "_kept", "_lines", "_gone"])
+        yield pa.record_batch([*extra, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "kept", "lines", "gone"])
+
+
+def _reduced(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of ``docs`` under numbered names with kept, lines and gone in place of the text."""
+    own, name, _ = numbered(docs)
+    text = F.coalesce(name["text"], F.lit(""))
+    rest = [n for c, n in name.items() if c != "text"]
+    base = own.select(F.coalesce(F.col(name["doc_id"]).cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(text).alias("rk"), text.alias("text"), *rest)
+    joined = base.join(keep_bitmaps(docs.select("doc_id", "text")), ["did", "rk"], "left")
+    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in name.items() if c != "text"]
+    return joined.mapInArrow(_apply, ", ".join([*kinds, "kept string, lines long, gone long"])), name
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``_kept`` (the text that is left), ``_lines`` and ``_gone`` (lines before, lines dropped).
+    """The rows of ``docs`` without text, and with ``_kept`` (the text that is left), ``_lines`` and ``_gone`` (lines before, lines dropped).
 
     A null or empty text is one empty line, which is too short to go. Where one id has several rows, they
     count as one document; null ids count as one document that comes after all others. A document may lose
-    all its lines and then has an empty text. Other columns pass unchanged; an empty table stays empty.
+    all its lines and then has an empty text. Other columns pass unchanged, whatever their names (ours get more underscores where they
+    would clash); an empty table stays empty.
     """
-    # each input column rides along under a prefix, so that no name of the caller's clashes with ours
-    back = {f"c_{i}": c for i, c in enumerate(docs.columns)}
-    rest = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in back.items() if c != "text"), "text", F.col("doc_id").alias("doc_id_"))
-    base = rest.select(F.coalesce(F.col("doc_id_").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"), *(k for k, c in back.items() if c != "text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rk"))
-    joined = base.join(keep_bitmaps(docs.select("doc_id", "text")), ["did", "rk"], "left")
-    kinds = {k: docs.schema[c].dataType.simpleString() for k, c in back.items() if c != "text"}
-    out = joined.mapInArrow(_apply, ", ".join([*(f"{k} {t}" for k, t in kinds.items()), "_kept string, _lines long, _gone long"]))
-    return out.select(*(F.col(k).alias(c) for k, c in back.items() if c != "text"), "_kept", "_lines", "_gone")
+    out, name = _reduced(docs)
+    ours = (F.col(c).alias(free_name(f"_{c}", docs.columns)) for c in ("kept", "lines", "gone"))
+    return out.select(*(F.col(n).alias(c) for c, n in name.items() if c != "text"), *ours)
 
 
 def deduped(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the text that is left, and ``n_chars``, where there is one, counted anew. No row goes."""
-    out = line_dedup(docs)
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    out, name = _reduced(docs)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*(new.get(c, F.col(n)).alias(c) for c, n in name.items()))
 
 
 def sha256_hex(text: Column) -> Column:
@@ -155,10 +158,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_dropped"), sha256_hex(F.col("_kept")).alias("kept_sha256"))
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 SQL = r"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line

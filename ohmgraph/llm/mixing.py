@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ohmgraph.llm.common import Scratch, table
+from ohmgraph.llm.common import Scratch, numbered, table
 
 #: Words of the mix, as a share of all words, in per cent.
 SHARE = 150
@@ -39,9 +39,10 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("t"))
 
 
-def draw(doc_id: Column) -> Column:
-    """In (0, 1), from the id alone."""
-    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
+def draw(doc_id: Column, text_hash: Column) -> Column:
+    """In (0, 1), from the id alone; where it is null, from the text, so that such rows don't all draw alike."""
+    by = F.coalesce(doc_id.cast("string"), F.concat(F.lit("t"), text_hash.cast("string")))
+    return (F.conv(F.substring(F.md5(by), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -73,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "mixing")
-    rows = tmp.keep(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), source_key(F.col("source")).alias("sk"), size_of(F.col("text")).alias("size"), draw(F.col("doc_id")).alias("u")), "sizes")
+    rows = tmp.keep(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), source_key(F.col("source")).alias("sk"), size_of(F.col("text")).alias("size"), draw(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("u")), "sizes")
     targets = source_targets(rows.groupBy("sk").agg(F.sum("size").alias("source_size")), weights)
     lam = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(lam).cast("long")).withColumn("p", lam - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -96,11 +97,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, unchanged; rows of equal id, text and source alike."""
-    rows = docs.withColumn("_key", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), source_key(F.col("source")).alias("s")))
+    own, name, back = numbered(docs)
+    doc_id, text, source = (F.col(name[c]) for c in ("doc_id", "text", "source"))
+    key = lambda i, t, s: F.struct(F.coalesce(i.cast("string"), F.lit("")).alias("i"), t.alias("t"), s.alias("s"))
+    rows = own.withColumn("key", key(doc_id, F.xxhash64(F.coalesce(text, F.lit(""))), source_key(source)))
     taken = mix(docs.select("doc_id", "text", "source"), weights).filter("copies > 0")
-    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.col("text_hash").alias("t"), F.col("sk").alias("s"))
-    taken = taken.groupBy(key.alias("_key")).agg(F.max("copies").alias("_copies"))
-    return rows.join(taken, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_nth")).drop("_nth")
+    taken = taken.groupBy(key(F.col("doc_id"), F.col("text_hash"), F.col("sk")).alias("key")).agg(F.max("copies").cast("int").alias("copies"))
+    return back(rows.join(taken, "key").select(*name.values(), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

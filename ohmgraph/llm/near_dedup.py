@@ -12,8 +12,8 @@ node of their bucket that meets most others. Those that agree in at least ``AGRE
 counted, and only a similarity of ``SIMILAR`` and more makes a link. Components of links are formed. A bucket of
 one family thus costs one comparison for each member. Where a bucket still holds several components, its members get signatures of ``K2``
 coordinates and sharper bands of ``ROWS2``, which few pairs below the similarity asked for share; within these every member outside the
-largest component is compared with all members of other components, so no link is lost to the choice of the first
-comparison; here too the counts of shingles decide. Classes are connected components.
+largest component meets all members of other components in the task that has the band (or two blocks of a large one), and only pairs whose
+short signatures agree leave it, so no link is lost to the choice of the first comparison; here too the counts of shingles decide. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgraph.llm import textops
-from ohmgraph.llm.common import NULL_ID, Scratch, small_batches, table
+from ohmgraph.llm.common import NULL_ID, Scratch, numbered, small, table
 from ohmgraph.operators.components import components
 
 SHINGLE, ROWS, BANDS = 5, 7, 36
@@ -47,7 +47,9 @@ AGREE2 = 0.775
 ROUGH = 0.71
 #: So many nodes' keys are broadcast for the second look at their texts; more are joined by shuffle.
 BROADCAST_NODES = 200_000
-_FIRST = 0.25
+#: Members of a band, or of two blocks of one, that meet in a task are at most about twice as many.
+MEET = 2000
+_FIRST, _WIDEST = 0.25, 128.0
 _U = np.uint64
 _EMPTY = _U(2**64 - 1)
 
@@ -64,7 +66,17 @@ def _thresholds(rate: float) -> np.ndarray:
     return np.array(out, _U)
 
 
-_SLABS = [(_FIRST, _thresholds(_FIRST))] + [(_FIRST * 2**s, _thresholds(_FIRST * 2**s)) for s in range(14)]
+def _slabs() -> Iterator[tuple[int, int, np.ndarray]]:
+    """(slab, draw, thresholds) without an end: each slab is as wide as all before, in draws of at most ``_WIDEST``, whose quantiles a double can hold."""
+    slab, width, draw = 0, _FIRST, 0
+    while True:
+        n = max(1, int(width / _WIDEST))
+        thr = _thresholds(width / n)
+        for _ in range(n):
+            yield slab, draw, thr
+            draw += 1
+        width = width if slab == 0 else width * 2  # the first two are alike: the second is as wide as all before
+        slab += 1
 
 
 def _cells(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +99,17 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: int, k: int = K) -> np.ndarray
     sig = np.full(n * k, _EMPTY)
     with np.errstate(over="ignore"):
         cell, doc = _cells(h, doc)
-        for slab, (_, thr) in enumerate(_SLABS):
-            u = textops.mix(cell ^ _U((slab + 1) * 0xA0761D6478BD642F % 2**64))
+        last = -1
+        for slab, draw, thr in _slabs():
+            if slab != last:
+                open_doc = (sig.reshape(n, k) == _EMPTY).any(axis=1)
+                keep = open_doc[doc]
+                if not keep.any():
+                    break
+                if not keep.all():
+                    cell, doc = cell[keep], doc[keep]
+                last = slab
+            u = textops.mix(cell ^ _U((draw + 1) * 0xA0761D6478BD642F % 2**64))
             hit = np.flatnonzero(u >= thr[0])
             count = np.searchsorted(thr, u[hit], side="right")
             seed, owner = np.repeat(u[hit], count), np.repeat(doc[hit] * k, count)
@@ -97,17 +118,11 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: int, k: int = K) -> np.ndarray
             more = textops.mix(dart)
             where = owner + ((more >> _U(32)) * _U(k) >> _U(32)).astype(np.int64)
             np.minimum.at(sig, where, _U(slab) << _U(56) | dart >> _U(24) << _U(16) | more & _U(0xFFFF))
-            open_doc = (sig.reshape(n, k) == _EMPTY).any(axis=1)
-            keep = open_doc[doc]
-            if not keep.any():
-                break
-            if not keep.all():
-                cell, doc = cell[keep], doc[keep]
     return (sig.reshape(n, k) & _U(0xFF)).astype(np.uint8)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, 1024):
         ids = batch.column("doc_id")
         for a, b, data, off in textops.chunks(batch.column("text"), 1 << 19):
             h, doc = textops.words(data, off)
@@ -120,7 +135,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _resketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         for a, b, data, off in textops.chunks(batch.column("text"), 1 << 19):
             h, doc = textops.words(data, off)
             sig = signatures(*textops.shingles(h, doc, b - a, SHINGLE), b - a, K2)
@@ -128,7 +143,7 @@ def _resketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         for a, b, data, off in textops.chunks(batch.column("text"), 1 << 19):
             h, doc = textops.words(data, off)
             cell, of = _cells(*textops.shingles(h, doc, b - a, SHINGLE))
@@ -137,7 +152,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         ok = []
         for x, y in zip(batch.column("cells_a"), batch.column("cells_b"), strict=True):
             x, y = (np.frombuffer(c.as_buffer(), _U) for c in (x, y))
@@ -155,7 +170,7 @@ def _bands(rows: int, ways: int = 1):
     """Every way deals all coordinates out to bands: the first in order, the others by permutations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1024):
             if not batch.num_rows:
                 continue
             m = _matrix(batch.column("sig"))
@@ -175,7 +190,7 @@ def _bands(rows: int, ways: int = 1):
 
 def _agreeing(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2048):
             if not batch.num_rows:
                 continue
             ok = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).mean(axis=1) >= share
@@ -200,7 +215,6 @@ def _texts(tmp: Scratch, text: DataFrame, nodes: DataFrame, wanted: DataFrame) -
 
 def _counted(tmp: Scratch, text: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose counts of shingles are similar."""
-    small_batches(tmp.spark, 256)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     cells = tmp.keep(_texts(tmp, text, nodes, wanted).mapInArrow(_count, "node long, cells binary").groupBy("node").agg(F.first("cells").alias("cells")), "cells")  # equal nodes, equal words
     a, b = (cells.select(F.col("node").alias(x), F.col("cells").alias(f"cells_{x}")) for x in "ab")
@@ -230,18 +244,44 @@ def _undecided(tmp: Scratch, members: DataFrame, classes: DataFrame) -> DataFram
     return tmp.keep(known.join(mixed, "band", "left_semi").select("node").distinct(), "undecided")
 
 
-def _across(tmp: Scratch, sigs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a sharp band and of different components: each member outside the band's largest component, with all of others."""
-    bands = tmp.keep(_classed(sigs, classes).mapInArrow(_bands(ROWS2, WAYS2), "node long, component long, band long"), "bands")
+def _meeting(share: float):
+    """Pairs of a band's members, or of two blocks of them, that are of different components and agree in ``share`` of their coordinates."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, component, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
+        sig = _matrix(table.column("sig").combine_chunks())
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        order = np.argsort(component != table.column("main").to_numpy(), kind="stable")  # the largest component first
+        node, component, block, sig = node[order], component[order], block[order], sig[order]
+        out: tuple[list, list] = ([], [])
+        for x in range(len(node)):  # each with all before it, where only the few outside the largest component have any to meet
+            y = np.flatnonzero((component[:x] != component[x]) & ((block[:x] != block[x]) | (i == j)))
+            y = y[np.count_nonzero(sig[y] == sig[x], axis=1) >= share * sig.shape[1]]
+            out[0].append(np.minimum(node[y], node[x]))
+            out[1].append(np.maximum(node[y], node[x]))
+        return pa.table([np.concatenate([*o, np.empty(0, np.int64)]) for o in out], names=["a", "b"])
+
+    return run
+
+
+def _across(tmp: Scratch, fine: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a sharp band and of different components whose short signatures agree roughly.
+
+    A band's members meet in the task that has the band, and only pairs that agree leave it; where a band has more than ``MEET`` members, they are dealt
+    to blocks, and each pair of blocks is a task of its own.
+    """
+    bands = tmp.keep(_classed(fine, classes).mapInArrow(_bands(ROWS2, WAYS2), "node long, component long, band long"), "bands")
     sizes = bands.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("x"))
-    main = tmp.keep(main.filter("components > 1").select("band", F.col("x.component").alias("main")), "main")
-    tagged = tmp.keep(bands.join(main, "band"), "tagged")
+    main = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("x"), F.ceil(F.sum("n") / MEET).cast("int").alias("blocks"))
+    main = tmp.keep(main.filter("components > 1").select("band", F.col("x.component").alias("main"), "blocks"), "main")
+    tagged = bands.join(main, "band").join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = tagged.select("band", "node", "component", "main", "sig", "block", other)
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "main", "block", "sig")
+    met = dealt.groupBy("band", "i", "j").applyInArrow(_meeting(ROUGH), "a long, b long").distinct()
+    out = tmp.keep(met, "likely")
     tmp.drop(bands)
-    few = tagged.filter("component <> main").select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
-    rest = tagged.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
-    cross = few.join(rest, (few.band == rest.band) & F.expr("ca <> cb and (cb = main or a < b)"))
-    return tmp.keep(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+    return out
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -252,14 +292,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     Of rows with a null id, class_id is that of their class's other rows, and null (and kept) where there are none.
     Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 256)
-    tmp = Scratch(spark, "near-dedup")
+    tmp = Scratch(docs.sparkSession, "near-dedup")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", F.xxhash64("text"))
     rows = tmp.keep(text.mapInArrow(_sketch, "doc_id long, rk long, k1 long, k2 long, words long, sig binary"), "rows")
     distinct = rows.filter("words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "rk")).alias("one"), F.first("sig").alias("sig"))  # equal words, equal signature
     nodes = tmp.keep(distinct.sortWithinPartitions("k1", "k2").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     sigs = nodes.select("node", "sig")
     members = _buckets(tmp, sigs, ROWS)
     central = tmp.keep(members.groupBy("node").agg(F.sum("n").alias("met")), "central")
@@ -269,15 +306,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes = tmp.keep(components(links, "a", "b"), "classes")
     undecided = _undecided(tmp, members, classes)
     if not undecided.isEmpty():
-        small_batches(spark, 256)
         fine = tmp.keep(_texts(tmp, text, nodes, undecided).mapInArrow(_resketch, "node long, sig binary").groupBy("node").agg(F.first("sig").alias("sig")), "fine")  # equal nodes, equal words
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-        cross = _across(tmp, fine, classes)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-        likely = tmp.keep(_verified(cross, sigs, ROUGH), "likely")
+        likely = _across(tmp, fine, sigs, classes)
         links = links.union(_counted(tmp, text, nodes, tmp.keep(_verified(likely, fine, AGREE2), "candidates")))
         classes = tmp.keep(components(links, "a", "b"), "classes")
-    small_batches(spark)
     of = _classed(nodes.select("k1", "k2", "node", "first_id"), classes)
     least = tmp.keep(of.groupBy("component").agg(F.min("first_id").alias("class_id")), "least")
     label = tmp.keep(of.join(least, "component").select("k1", "k2", "class_id"), "labels")
@@ -288,11 +320,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their class, unchanged; of rows of equal id and text one stays."""
-    kept = near_classes(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_id"), F.col("rk").alias("_rk")).distinct()
-    rows = docs.withColumn("_rk", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0)))
-    kept = kept.withColumn("_null", F.col("_id").isNull()).withColumn("_id", F.coalesce("_id", F.lit(0)))
-    keys = ["_id", "_null", "_rk"]
-    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    own, name, back = numbered(docs)
+    doc_id, text = F.col(name["doc_id"]), F.col(name["text"])
+    kept = near_classes(docs.select("doc_id", "text")).filter("kept").select(F.struct(F.col("doc_id").cast("string").alias("i"), "rk").alias("key")).distinct()
+    rows = own.withColumn("key", F.struct(doc_id.cast("long").cast("string").alias("i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("rk")))
+    same = rows["key"].eqNullSafe(kept["key"])
+    return back(rows.join(kept, same, "left_semi").dropDuplicates(["key"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ohmgraph.llm.common import Scratch, partitions, small_batches, table
+from ohmgraph.llm.common import Scratch, partitions, small, table
 from ohmgraph.llm.tokens import END, FastTokens
 
 #: Tokens of a sequence.
@@ -29,7 +29,7 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 def _pieces(path: str | None, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = FastTokens.shared(path)
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column("doc_id").to_pylist()
             for a, b, flat, off in tokens.encode(batch.column("text")):
                 rows = []
@@ -72,7 +72,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             if full:
                 out.append((length, rank, full * each, first, each, capacity - space))
                 rank, left = rank + full * each, left - full * each
-                put(space - full_length(each, length), first, full)
+                put(space - each * length, first, full)
             if full < n:
                 rest = n - full
                 if left and left < each:
@@ -94,10 +94,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 6)
 
 
-def full_length(each: int, length: int) -> int:
-    return each * length
-
-
 def _slots(plan_rows: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = plan_rows[:, 0] << 48 | plan_rows[:, 1]
@@ -118,7 +114,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     more than ``capacity`` ids are cut. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
     tmp = Scratch(spark, "packing")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = tmp.keep(text.mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
@@ -131,7 +126,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     # merged, not broadcast: the pieces are dealt by (length, salt) for the ranks anyway
     by = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("rn", F.row_number().over(by) - 1).join(base.select("length", "salt", "before").hint("merge"), ["length", "salt"]).withColumn("rank", F.col("rn") + F.col("before"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     out = ranked.select(*_PIECE.names, "rank").mapInArrow(_slots(plan(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out
 

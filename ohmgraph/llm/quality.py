@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgraph.llm import textops
-from ohmgraph.llm.common import Scratch, held_out, labelled_sample, small_batches, table
+from ohmgraph.llm.common import Scratch, held_out, labelled_sample, small, table
 
 SAMPLE, DIM, FOLDS, SEED, RIDGE = 20_000, 256, 5, 7, 1e-3
 #: A document of at least this score passes.
@@ -88,7 +88,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         x = statistics(batch.column("text"))
         yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
@@ -173,9 +173,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Without any labelled row the model scores every text 0.5."""
-    spark = docs.sparkSession
-    small_batches(spark, 256)
-    tmp = Scratch(spark, "quality")
+    tmp = Scratch(docs.sparkSession, "quality")
     sample = tmp.keep(labelled_sample(docs, labels, label, SAMPLE).mapInArrow(_sampled, "doc_id long, y int, x array<double>"), "sample").coalesce(8)
     stats = sample.select([F.avg(F.col("x")[i]) for i in range(len(NAMES))] + [F.stddev_pop(F.col("x")[i]) for i in range(len(NAMES))]).first()
     if stats[0] is None:
@@ -191,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 def _scores(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             s = model.score(batch.column("text"))
             rest = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]
@@ -206,7 +204,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     A null or empty text is scored as a text without any character; a null id is never held out. Rows of equal id are
     scored each for itself; other columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession, 256)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_scores(model, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
@@ -214,7 +211,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def _passing(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(model.score(batch.column("text")) >= threshold))
 
     return run
@@ -222,7 +219,6 @@ def _passing(model: Model, threshold: float):
 
 def passing(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``, unchanged; nothing is shuffled."""
-    small_batches(docs.sparkSession, 256)
     return docs.mapInArrow(_passing(model, threshold), docs.schema)
 
 

@@ -3,12 +3,13 @@
 The tokenizer lower-cases, splits at white space into letter runs, single digits and symbol runs, and encodes each by itself; so the
 ids of a text are those of its words in turn. Texts of ASCII and the letters U+00C0-U+00FF are split as byte arrays, words are
 looked up by hash, and only words not seen before go to the tokenizer. Any other text (and any
-with an apostrophe, whose contractions split differently) goes to the tokenizer as a whole.
+with an apostrophe, whose contractions split differently, or with the string of an added token) goes to the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +62,8 @@ class FastTokens:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.full.get_added_tokens_decoder().values()
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in added), re.I) if added else None
         self.clear()
 
     def clear(self) -> None:
@@ -168,6 +170,9 @@ class FastTokens:
             else:
                 simple = np.ones(b - a, bool)
                 simple[np.searchsorted(off, np.flatnonzero(bad), side="right") - 1] = False
+            if self.added is not None:  # the tokenizer takes these strings out of a text before it splits the rest
+                for m in self.added.finditer(raw):
+                    simple[np.searchsorted(off, m.start(), side="right") - 1] = False
             # words that are too long to remember
             cutted = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]])) if len(kind) else np.zeros(1, int)
             long = (np.diff(cutted) > _LONG) & (kind[cutted[:-1]] != _SPACE) if len(kind) else np.zeros(0, bool)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmgraph.llm.common import Scratch, held_out, labelled_sample, small_batches, table
+from ohmgraph.llm.common import Scratch, held_out, labelled_sample, small, table
 
 NGRAMS = (3, 4, 5, 6)
 BUCKETS, KEPT, SAMPLE = 1 << 18, 4096, 12_000
@@ -52,7 +52,7 @@ def present(text: str, wanted: np.ndarray | None = None) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, BUCKETS), np.int32)
     n = [0, 0]
-    for batch in batches:
+    for batch in small(batches):
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
             total[y][present(text)] += 1
             n[y] += 1
@@ -63,7 +63,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(column: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = column >= 0
-        for batch in batches:
+        for batch in small(batches):
             rows = [column[present(t, wanted)].tolist() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["y", "f"])
 
@@ -100,9 +100,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Without labelled rows of both kinds the model scores every text by the share of label 1, smoothed."""
-    spark = docs.sparkSession
-    small_batches(spark, 256)
-    tmp = Scratch(spark, "toxicity")
+    tmp = Scratch(docs.sparkSession, "toxicity")
     sample = tmp.keep(labelled_sample(docs, labels, label, SAMPLE).select("text", "y"), "sample")
     counts = sample.mapInArrow(_counts, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().set_index("bucket")
     n0, n1 = (float(counts[c].get(-1, 0)) for c in ("n0", "n1"))
@@ -129,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 def _scores(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             s = model.score(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -142,7 +140,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     A null or empty text has no n-gram but that of two spaces and gets the bias alone; a null id is never held out. Rows of equal id
     are scored each for itself; other columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession, 256)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_scores(model, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
