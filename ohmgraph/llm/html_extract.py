@@ -60,7 +60,7 @@ _SPACE = re.compile(f"[{WS}\xa0]+")
 
 
 # A node is [label, repeated, optional, children, stats, pages]; a text slot has the label "#" and stats
-# [blocks, characters, characters in links, the text if it never changed, else None].
+# [blocks, characters, characters in links, the text (of a repeated slot, a hash of a page's texts) if it never changed, else None].
 def _tokens(html: str) -> Iterator[tuple]:
     """(text,) or (name, closing, attributes), in order; each character is looked at a bounded number of times."""
     n, at, text = len(html), 0, 0
@@ -170,6 +170,10 @@ def tree(html: str) -> list:
     return root
 
 
+def _hash(text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Places of labels that are unique in both, in an order that both share, as many as possible."""
     ca, cb = Counter(a), Counter(b)
@@ -234,15 +238,16 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out + tail[::-1]
 
 
-def merge(a: list, b: list, level: int = 0) -> list:
-    """Alignment of two nodes of equal label, in ``a``; what only one side has becomes optional."""
+def merge(a: list, b: list, level: int = 0, row: bool = False) -> list:
+    """Alignment of two nodes of equal label, in ``a``; what only one side has becomes optional. In a ``row`` they follow each other in the same pages."""
     todo, touched = [(a, b)], []
     while todo:
         a1, b1 = todo.pop()
         a1[1], a1[2], a1[5] = a1[1] or b1[1], a1[2] or b1[2], a1[5] + b1[5]
         if a1[4] is not None:
             x, y = a1[4], b1[4]
-            a1[4] = [x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] if x[3] == y[3] else None]
+            same = None if x[3] is None or y[3] is None else _hash(f"{x[3]}\0{y[3]}") if row else x[3] if x[3] == y[3] else None
+            a1[4] = [x[0] + y[0], x[1] + y[1], x[2] + y[2], same]
         if not a1[3] and not b1[3]:
             continue
         left, right = a1[3], b1[3]
@@ -271,7 +276,7 @@ def fold(items: list, level: int = 0) -> list:
     for x in items:
         if out and out[-1][0] == x[0]:
             pages = max(out[-1][5], x[5])  # of one page or of the same pages
-            out[-1] = merge(out[-1], x, level)
+            out[-1] = merge(out[-1], x, level, row=True)
             out[-1][1], out[-1][5] = True, pages
         else:
             out.append(x)
@@ -285,7 +290,7 @@ def fold(items: list, level: int = 0) -> list:
                 for k in range(period, 0, -1):  # read as: any of the group's nodes may come again, from the group's start
                     one, two = kept[-k - period], kept[-k]
                     pages = max(one[5], two[5])
-                    merge(one, two, level)
+                    merge(one, two, level, row=True)
                     one[1], one[5] = True, pages
                 del kept[-period:]
         out = kept
@@ -491,7 +496,7 @@ def _short(root: list) -> list:
     """Unchanging texts are kept by their hash: a slot needs to know whether they change."""
     for node in _nodes(root):
         if node[4] is not None and node[4][3] is not None and len(node[4][3]) > 64:
-            node[4][3] = f"{node[4][3][:40]}|{len(node[4][3])}|{xxhash.xxh3_128_hexdigest(node[4][3].encode('utf-8', 'surrogatepass'))}"
+            node[4][3] = f"{node[4][3][:40]}|{len(node[4][3])}|{_hash(node[4][3])}"
     return root
 
 
