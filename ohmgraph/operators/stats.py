@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from ohmgraph.operators.ranks import average_ranks, row_numbers
+
 #: Scale of the expression measure; larger by 10^4 than the usual 10^9.
 RPKM = 10e12
 
@@ -81,24 +83,18 @@ def student_sf(t: pd.Series, df: pd.Series) -> pd.Series:
 def bh_mask(tests: DataFrame, alpha: float, p: str = "p") -> DataFrame:
     """``tests`` with ``pass``: Benjamini-Hochberg with thresholds i alpha / n counted from i = 0; rows strictly below the largest passing p.
 
-    The counting from 0 and the strict comparison are those of the reference. The windows run over one row per test.
+    The counting from 0 and the strict comparison are those of the reference.
     """
-    everything = Window.partitionBy(F.lit(0))
-    ranked = tests.withColumn("_i", F.row_number().over(everything.orderBy(p, "gene")) - 1).withColumn("_n", F.count(F.lit(1)).over(everything))
-    last = F.max(F.when(F.col(p) <= F.col("_i") * alpha / F.col("_n"), F.col(p))).over(everything)
-    return ranked.withColumn("_last", last).withColumn("pass", F.coalesce(F.col(p) < F.col("_last"), F.lit(False))).drop("_i", "_n", "_last")
-
-
-def average_rank(column: str, by: list[str] | None = None) -> Column:
-    """Rank from 1, ties sharing their mean rank."""
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ties = Window.partitionBy(*(by or [F.lit(0)]), column)
-    return F.rank().over(part.orderBy(column)) + (F.count(F.lit(1)).over(ties) - 1) / 2
+    places = row_numbers(tests, p, "gene", name="_i")
+    n = places.count()
+    last = places.agg(F.max(F.when(F.col(p) <= (F.col("_i") - 1) * alpha / n, F.col(p)))).first()[0] if n else None
+    return places.withColumn("pass", F.coalesce(F.col(p) < F.lit(last).cast("double"), F.lit(False))).drop("_i")
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """(spearman): Pearson's correlation of average ranks; one row per call is expected."""
-    return rows.select(average_rank(x).alias("rx"), average_rank(y).alias("ry")).agg(F.corr("rx", "ry").alias("spearman"))
+    """(spearman): Pearson's correlation of average ranks of rows that have both values."""
+    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return average_ranks(average_ranks(both, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("spearman"))
 
 
 def kde2d(points: np.ndarray, at: np.ndarray) -> np.ndarray:

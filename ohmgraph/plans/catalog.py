@@ -17,6 +17,7 @@ from ohmgraph.operators import significance as sg
 from ohmgraph.operators import stats as st
 from ohmgraph.operators import xref as xr
 from ohmgraph.operators.components import components
+from ohmgraph.operators.ranks import row_numbers
 from ohmgraph.plans import driver as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,7 +160,7 @@ query("direct_coverage", f"WITH {ANN} SELECT term, count(DISTINCT up) AS direct
 query("information_content", f"WITH RECURSIVE {REACH} SELECT term, round(ln(total / n), 6) AS ic FROM siz, tot")(lambda s, p: r6(an.information_content(an.reach_size(_reached(s, p)), _total(s, p)), "ic"))
 query("direct_information_content", f"WITH {ANN}, c AS (SELECT term, count(DISTINCT up) AS n FROM ann GROUP BY 1), t AS (SELECT count(*) AS total FROM customer) SELECT term, round(ln(total / n), 6) AS ic FROM c, t")(lambda s, p: r6(an.information_content(an.direct_coverage(d.annotations(s, p)), _total(s, p), "direct"), "ic"))
 query("protein_information", f"WITH RECURSIVE {REACH} SELECT up, round(sum(ln(total / n)), 6) AS information FROM ann JOIN siz USING (term), tot GROUP BY up")(lambda s, p: r6(an.protein_information(d.annotations(s, p), an.information_content(an.reach_size(_reached(s, p)), _total(s, p))), "information"))
-query("informativity_leaderboard", f"WITH RECURSIVE {INF} SELECT term, row_number() OVER (ORDER BY round(inf, 6) DESC, term) AS place FROM inf")(lambda s, p: r6(_informed(s, p), "inf").select("term", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("inf"), "term")).cast("long").alias("place")))
+query("informativity_leaderboard", f"WITH RECURSIVE {INF} SELECT term, row_number() OVER (ORDER BY round(inf, 6) DESC, term) AS place FROM inf")(lambda s, p: row_numbers(r6(_informed(s, p), "inf"), F.desc("inf"), "term", name="place").select("term", "place"))
 _TE = "te AS (SELECT least(child, parent) AS i, greatest(child, parent) AS j, least(a.inf, b.inf) AS w FROM ont JOIN inf a ON child = a.term JOIN inf b ON parent = b.term)"
 query("term_laplacian", f"WITH RECURSIVE {INF}, {_TE}, tm AS (SELECT i, j, w FROM te UNION ALL SELECT j, i, w FROM te) SELECT i, j, round(-w, 6) AS w FROM tm UNION ALL SELECT i, i, round(sum(w), 6) FROM tm GROUP BY i")(lambda s, p: r6(mx.laplacian(an.term_edges(d.ontology(s, p), _informed(s, p))), "w"))
 query("inflated_laplacian", f"WITH RECURSIVE {INF}, {_TE}, ii AS (SELECT i, j, w FROM te UNION ALL SELECT term, up, 10 * log2(total) / log2(3) FROM ann, tot), tm AS (SELECT i, j, w FROM ii UNION ALL SELECT j, i, w FROM ii) SELECT i, j, round(-w, 6) AS w FROM tm UNION ALL SELECT i, i, round(sum(w), 6) FROM tm GROUP BY i")(

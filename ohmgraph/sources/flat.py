@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ohmgraph.scratch import Scratch
+
 
 def lines(spark: SparkSession, path: str, skip: int = 0, encoding: str | None = None) -> DataFrame:
     """(file, line, text) without the first ``skip`` lines of each file. ``line`` orders the lines of a file: (split's start, row).
@@ -56,18 +58,21 @@ def phosphosite(spark: SparkSession, path: str, organism: str) -> DataFrame:
     return last_wins(t.select("file", "line", col(0).alias("kinase"), col(7).alias("substrate"), flag(-3).alias("in_vivo"), flag(-2).alias("in_vitro")), ["kinase", "substrate"])
 
 
-def complex_portal(spark: SparkSession, path: str, rounds: int = 5) -> DataFrame:
-    """(id, name, components): accessions without stoichiometry and isoform; sub-complexes are expanded, foreign members dropped."""
+def complex_portal(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, components): accessions without stoichiometry and isoform; sub-complexes are expanded to any depth (cycles add nothing new), foreign members dropped."""
     t = columns(lines(spark, path, 1)).select(col(0).alias("id"), col(1).alias("name"), F.explode(F.split(col(4), r"\|")).alias("m")).withColumn("m", F.regexp_replace("m", r"\(\d+\)$", ""))
+    tmp = Scratch(spark, "complex-portal")
+    t = tmp.keep(t, "members")
     names = t.select("id", "name").distinct()
-    members = t.select("id", "m")
-    known = names.select(F.col("id").alias("m"))
-    out = members.join(known, "m", "left_anti")
-    nested = members.join(known, "m", "left_semi")
-    for _ in range(rounds):
-        step = nested.join(members.select(F.col("id").alias("m"), F.col("m").alias("n")), "m").select("id", F.col("n").alias("m"))
-        out = out.unionByName(step.join(known, "m", "left_anti"))
-        nested = step.join(known, "m", "left_semi")
+    known = names.select(F.col("id").alias("m")).distinct()
+    inner = tmp.keep(t.select("id", "m").distinct().join(known, "m", "left_semi").select("id", F.col("m").alias("sub")), "inner")
+    seen = frontier = inner
+    while not frontier.isEmpty():  # pairs (complex, complex below it) that are new
+        step = frontier.join(inner.select(F.col("id").alias("sub"), F.col("sub").alias("next")), "sub").select("id", F.col("next").alias("sub")).distinct()
+        frontier = tmp.keep(step.join(seen, ["id", "sub"], "left_anti"), "frontier")
+        seen = tmp.keep(seen.unionByName(frontier), "seen")
+    below = seen.unionByName(names.select("id", F.col("id").alias("sub"))).distinct()
+    out = below.join(t.select(F.col("id").alias("sub"), "m"), "sub").join(known, "m", "left_anti")
     clean = out.filter("not contains(m, ':') and not contains(m, '_9606')").select("id", F.regexp_replace("m", r"-\d+$", "").alias("m"))
     parts = clean.groupBy("id").agg(F.sort_array(F.collect_set("m")).alias("components"))
     return names.join(parts, "id", "left").select("id", "name", F.coalesce("components", F.array().cast("array<string>")).alias("components"))
