@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ohmgraph.scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "fold", "free_name", "held_out", "labelled_sample", "numbered", "partitions", "shared_dir", "small", "squeeze", "table"]
+__all__ = ["Scratch", "batches_of", "fold", "free_name", "held_out", "labelled_sample", "numbered", "partitions", "shared_dir", "small", "squeeze", "table"]
 
 #: The white space that the contracts of this subpackage mean: ``[\x20\x09-\x0D]``.
 WS = " \t\n\x0b\x0c\r"
@@ -50,6 +51,18 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(start, rows)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for the tables that are written inside; the session's own setting comes back at the end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """``name``, with underscores before it until the caller has no such column."""
     taken = {c.lower() for c in columns}

@@ -13,7 +13,7 @@ counted, and only a similarity of ``SIMILAR`` and more makes a link. Components
 one family thus costs one comparison for each member. Where a bucket still holds several components, its members get signatures of ``K2``
 coordinates and sharper bands of ``ROWS2``, which few pairs below the similarity asked for share; within these every member outside the
 largest component meets all members of other components in the task that has the band (or two blocks of a large one), and only pairs whose
-short signatures agree leave it, so no link is lost to the choice of the first comparison; here too the counts of shingles decide. Classes are connected components.
+signatures agree roughly leave it, so no link is lost to the choice of the first comparison; here too the counts of shingles decide. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgraph.llm import textops
-from ohmgraph.llm.common import NULL_ID, Scratch, numbered, small, table
+from ohmgraph.llm.common import NULL_ID, Scratch, batches_of, numbered, small, table
 from ohmgraph.operators.components import components
 
 SHINGLE, ROWS, BANDS = 5, 7, 36
@@ -38,13 +38,12 @@ SIMILAR = 0.8
 #: Share of equal coordinates that makes a candidate. The estimate's standard
 #: deviation at 0.8 is sqrt(0.16 / K) = 0.025, and two of them are allowed for.
 AGREE = 0.75
-#: The second look: a pair of similarity 0.8 shares a band with probability 0.997, one of 0.65 with 0.09; the deviation is 0.009.
-#: Each coordinate is in five bands, by five ways of dealing them out.
-ROWS2, WAYS2, K2 = 20, 5, 2100
+#: The second look: a pair of similarity 0.8 shares one of the 150 bands with probability 0.999, one of 0.65 with 0.3; the deviation is 0.009.
+ROWS2, K2 = 14, 2100
 AGREE2 = 0.775
-#: Pairs of the second look agree in at least this share of the first, short signatures (0.8 less 3.5 deviations)
-#: before the long ones are brought together.
-ROUGH = 0.71
+#: Pairs of the second look agree in at least these shares of their first coordinates (0.8 less 3.5 deviations)
+#: before whole signatures are brought together.
+ROUGH = ((252, 0.71), (700, 0.747))
 #: So many nodes' keys are broadcast for the second look at their texts; more are joined by shuffle.
 BROADCAST_NODES = 200_000
 #: Members of a band, or of two blocks of one, that meet in a task are at most about twice as many.
@@ -166,17 +165,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _bands(rows: int, ways: int = 1):
-    """Every way deals all coordinates out to bands: the first in order, the others by permutations."""
+def _bands(rows: int):
+    """Coordinates dealt out to bands in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 1024):
             if not batch.num_rows:
                 continue
             m = _matrix(batch.column("sig"))
-            k = m.shape[1]
-            dealt = np.stack([np.arange(k), *(np.random.default_rng(w).permutation(k) for w in range(1, ways))])
-            dealt = dealt[:, : k // rows * rows].reshape(-1, rows)
+            dealt = np.arange(m.shape[1] // rows * rows).reshape(-1, rows)
             n = len(dealt)
             with np.errstate(over="ignore"):
                 acc = np.broadcast_to(textops.mix(np.arange(1, n + 1).astype(_U)), (len(m), n))
@@ -244,41 +241,39 @@ def _undecided(tmp: Scratch, members: DataFrame, classes: DataFrame) -> DataFram
     return tmp.keep(known.join(mixed, "band", "left_semi").select("node").distinct(), "undecided")
 
 
-def _meeting(share: float):
-    """Pairs of a band's members, or of two blocks of them, that are of different components and agree in ``share`` of their coordinates."""
+def _meeting(table: pa.Table) -> pa.Table:
+    """Pairs of a band's members, or of two blocks of them, that are of different components and agree roughly."""
+    node, component, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
+    sig = _matrix(table.column("sig").combine_chunks())
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    order = np.argsort(component != table.column("main").to_numpy(), kind="stable")  # the largest component first
+    node, component, block, sig = node[order], component[order], block[order], sig[order]
+    out: tuple[list, list] = ([], [])
+    for x in range(len(node)):  # each with all before it, where only the few outside the largest component have any to meet
+        y = np.flatnonzero((component[:x] != component[x]) & ((block[:x] != block[x]) | (i == j)))
+        for n, least in ROUGH:
+            y = y[np.count_nonzero(sig[y, :n] == sig[x, :n], axis=1) >= least * n]
+        out[0].append(np.minimum(node[y], node[x]))
+        out[1].append(np.maximum(node[y], node[x]))
+    return pa.table([np.concatenate([*o, np.empty(0, np.int64)]) for o in out], names=["a", "b"])
 
-    def run(table: pa.Table) -> pa.Table:
-        node, component, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
-        sig = _matrix(table.column("sig").combine_chunks())
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        order = np.argsort(component != table.column("main").to_numpy(), kind="stable")  # the largest component first
-        node, component, block, sig = node[order], component[order], block[order], sig[order]
-        out: tuple[list, list] = ([], [])
-        for x in range(len(node)):  # each with all before it, where only the few outside the largest component have any to meet
-            y = np.flatnonzero((component[:x] != component[x]) & ((block[:x] != block[x]) | (i == j)))
-            y = y[np.count_nonzero(sig[y] == sig[x], axis=1) >= share * sig.shape[1]]
-            out[0].append(np.minimum(node[y], node[x]))
-            out[1].append(np.maximum(node[y], node[x]))
-        return pa.table([np.concatenate([*o, np.empty(0, np.int64)]) for o in out], names=["a", "b"])
 
-    return run
-
-
-def _across(tmp: Scratch, fine: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a sharp band and of different components whose short signatures agree roughly.
+def _across(tmp: Scratch, fine: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a sharp band and of different components whose signatures agree roughly.
 
     A band's members meet in the task that has the band, and only pairs that agree leave it; where a band has more than ``MEET`` members, they are dealt
     to blocks, and each pair of blocks is a task of its own.
     """
-    bands = tmp.keep(_classed(fine, classes).mapInArrow(_bands(ROWS2, WAYS2), "node long, component long, band long"), "bands")
+    bands = tmp.keep(_classed(fine, classes).mapInArrow(_bands(ROWS2), "node long, component long, band long"), "bands")
     sizes = bands.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("x"), F.ceil(F.sum("n") / MEET).cast("int").alias("blocks"))
     main = tmp.keep(main.filter("components > 1").select("band", F.col("x.component").alias("main"), "blocks"), "main")
-    tagged = bands.join(main, "band").join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    begin = fine.select("node", F.substring("sig", 1, ROUGH[-1][0]).alias("sig"))
+    tagged = bands.join(main, "band").join(begin, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = tagged.select("band", "node", "component", "main", "sig", "block", other)
     dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "main", "block", "sig")
-    met = dealt.groupBy("band", "i", "j").applyInArrow(_meeting(ROUGH), "a long, b long").distinct()
+    met = dealt.groupBy("band", "i", "j").applyInArrow(_meeting, "a long, b long").distinct()
     out = tmp.keep(met, "likely")
     tmp.drop(bands)
     return out
@@ -293,23 +288,24 @@ def near_classes(docs: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result.
     """
     tmp = Scratch(docs.sparkSession, "near-dedup")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", F.xxhash64("text"))
-    rows = tmp.keep(text.mapInArrow(_sketch, "doc_id long, rk long, k1 long, k2 long, words long, sig binary"), "rows")
-    distinct = rows.filter("words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "rk")).alias("one"), F.first("sig").alias("sig"))  # equal words, equal signature
-    nodes = tmp.keep(distinct.sortWithinPartitions("k1", "k2").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    sigs = nodes.select("node", "sig")
-    members = _buckets(tmp, sigs, ROWS)
-    central = tmp.keep(members.groupBy("node").agg(F.sum("n").alias("met")), "central")
-    leads = members.join(central, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("x")).select("band", F.col("x.node").alias("lead"))
-    pairs = members.join(tmp.keep(leads, "leads"), "band").filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-    links = _counted(tmp, text, nodes, tmp.keep(_verified(tmp.keep(pairs, "pairs"), sigs, AGREE), "candidates"))
-    classes = tmp.keep(components(links, "a", "b"), "classes")
-    undecided = _undecided(tmp, members, classes)
-    if not undecided.isEmpty():
-        fine = tmp.keep(_texts(tmp, text, nodes, undecided).mapInArrow(_resketch, "node long, sig binary").groupBy("node").agg(F.first("sig").alias("sig")), "fine")  # equal nodes, equal words
-        likely = _across(tmp, fine, sigs, classes)
-        links = links.union(_counted(tmp, text, nodes, tmp.keep(_verified(likely, fine, AGREE2), "candidates")))
+    with batches_of(docs.sparkSession, 512):
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", F.xxhash64("text"))
+        rows = tmp.keep(text.mapInArrow(_sketch, "doc_id long, rk long, k1 long, k2 long, words long, sig binary"), "rows")
+        distinct = rows.filter("words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "rk")).alias("one"), F.first("sig").alias("sig"))  # equal words, equal signature
+        nodes = tmp.keep(distinct.sortWithinPartitions("k1", "k2").withColumn("node", F.monotonically_increasing_id()), "nodes")
+        sigs = nodes.select("node", "sig")
+        members = _buckets(tmp, sigs, ROWS)
+        central = tmp.keep(members.groupBy("node").agg(F.sum("n").alias("met")), "central")
+        leads = members.join(central, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("x")).select("band", F.col("x.node").alias("lead"))
+        pairs = members.join(tmp.keep(leads, "leads"), "band").filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        links = _counted(tmp, text, nodes, tmp.keep(_verified(tmp.keep(pairs, "pairs"), sigs, AGREE), "candidates"))
         classes = tmp.keep(components(links, "a", "b"), "classes")
+        undecided = _undecided(tmp, members, classes)
+        if not undecided.isEmpty():
+            fine = tmp.keep(_texts(tmp, text, nodes, undecided).mapInArrow(_resketch, "node long, sig binary").groupBy("node").agg(F.first("sig").alias("sig")), "fine")  # equal nodes, equal words
+            likely = _across(tmp, fine, classes)
+            links = links.union(_counted(tmp, text, nodes, tmp.keep(_verified(likely, fine, AGREE2), "candidates")))
+            classes = tmp.keep(components(links, "a", "b"), "classes")
     of = _classed(nodes.select("k1", "k2", "node", "first_id"), classes)
     least = tmp.keep(of.groupBy("component").agg(F.min("first_id").alias("class_id")), "least")
     label = tmp.keep(of.join(least, "component").select("k1", "k2", "class_id"), "labels")
