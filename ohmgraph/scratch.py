@@ -46,14 +46,24 @@ class Scratch:
         out._ohm_path = path
         return out
 
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back, and all tables made before it removed."""
+        before = list(self.made)
+        out = self.keep(df, name)
+        for path in before:
+            self._delete(path)
+        self.made = self.made[len(before) :]
+        return out
+
     def _delete(self, path: str) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext._jsc
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
 
     def drop(self, df: DataFrame) -> None:
-        """Removes a table that no later step reads."""
-        self._delete(df._ohm_path)
+        """Removes a table that no later step reads; one of another call too, and nothing where ``df`` is no such table."""
+        if (path := getattr(df, "_ohm_path", None)) is not None:
+            self._delete(path)
 
     def drop_all(self) -> None:
         if self.spark.sparkContext._jsc is not None:
