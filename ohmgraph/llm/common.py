@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ohmgraph.scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "batches_of", "fold", "free_name", "held_out", "labelled_sample", "numbered", "partitions", "shared_dir", "small", "squeeze", "table"]
+__all__ = ["BATCH", "Scratch", "batches_of", "fold", "free_name", "held_out", "labelled_sample", "numbered", "partitions", "shared_dir", "small", "squeeze", "table"]
 
 #: The white space that the contracts of this subpackage mean: ``[\x20\x09-\x0D]``.
 WS = " \t\n\x0b\x0c\r"
@@ -51,6 +51,10 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(start, rows)
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH = 256
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Smaller Arrow batches for the tables that are written inside; the session's own setting comes back at the end."""

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmgraph.llm.common import WS, Scratch, table
+from ohmgraph.llm.common import BATCH, WS, Scratch, batches_of, table
 
 MOST_NODES = 20_000
 #: Pages that must agree before a slot counts as unchanging; as many more before such a text goes from inside the main element.
@@ -243,7 +243,7 @@ def merge(a: list, b: list, level: int = 0, row: bool = False) -> list:
     todo, touched = [(a, b)], []
     while todo:
         a1, b1 = todo.pop()
-        a1[1], a1[2], a1[5] = a1[1] or b1[1], a1[2] or b1[2], a1[5] + b1[5]
+        a1[1], a1[2], a1[5] = a1[1] or b1[1], a1[2] or b1[2], max(a1[5], b1[5]) if row else a1[5] + b1[5]
         if a1[4] is not None:
             x, y = a1[4], b1[4]
             same = None if x[3] is None or y[3] is None else _hash(f"{x[3]}\0{y[3]}") if row else x[3] if x[3] == y[3] else None
@@ -275,9 +275,7 @@ def fold(items: list, level: int = 0) -> list:
     out: list = []
     for x in items:
         if out and out[-1][0] == x[0]:
-            pages = max(out[-1][5], x[5])  # of one page or of the same pages
-            out[-1] = merge(out[-1], x, level, row=True)
-            out[-1][1], out[-1][5] = True, pages
+            merge(out[-1], x, level, row=True)[1] = True
         else:
             out.append(x)
     for period in (2, 3, 4):
@@ -288,10 +286,7 @@ def fold(items: list, level: int = 0) -> list:
             kept.append(x)
             if len(kept) >= 2 * period and all(kept[-k][0] == kept[-k - period][0] for k in range(1, period + 1)):
                 for k in range(period, 0, -1):  # read as: any of the group's nodes may come again, from the group's start
-                    one, two = kept[-k - period], kept[-k]
-                    pages = max(one[5], two[5])
-                    merge(one, two, level, row=True)
-                    one[1], one[5] = True, pages
+                    merge(kept[-k - period], kept[-k], level, row=True)[1] = True
                 del kept[-period:]
         out = kept
     return out
@@ -562,13 +557,15 @@ def extract(pages: DataFrame) -> DataFrame:
     extracted each for itself; other columns are ignored; an empty table gives an empty result. Html of any length and depth is read in whole.
     """
     tmp = Scratch(pages.sparkSession, "html")
-    found = tmp.keep(wrappers(pages).select("host", "wrapper"), "wrappers")
+    with batches_of(pages.sparkSession, BATCH):
+        found = tmp.keep(wrappers(pages).select("host", "wrapper"), "wrappers")
     n, size = found.agg(F.count(F.lit(1)), F.sum(F.length("wrapper"))).first()
     small = n <= BROADCAST_HOSTS and (size or 0) <= BROADCAST_CHARS
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     joined = rows.join(F.broadcast(found) if small else found, "host").select("page_id", "url", "html", "wrapper")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
+    with batches_of(pages.sparkSession, BATCH):
+        return tmp.finish(joined.mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long"), "texts")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

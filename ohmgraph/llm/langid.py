@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ohmgraph.llm import textops
-from ohmgraph.llm.common import held_out, small, table
+from ohmgraph.llm.common import BATCH, Scratch, batches_of, held_out, small, table
 
 WINDOW, HIDDEN, SAMPLE, WINDOWS = 64, 8, 3000, 8
 #: Documents of a language that are looked at however many languages there are.
@@ -174,7 +174,8 @@ def fit(docs: DataFrame) -> Net | None:
     ids = pairs.withColumn("place", place).filter(F.col("place") <= max(LEAST, SAMPLE // langs)).drop("place")
     rows = learnable.select("doc_id", "lang", F.struct(F.xxhash64("text"), "text").alias("t")).join(F.broadcast(ids), ["doc_id", "lang"])  # at most SAMPLE ids, or LEAST for each language
     chosen = rows.groupBy("doc_id", "lang").agg(F.min("t").alias("t")).select("t.text", "lang")
-    got = chosen.mapInArrow(_windows, "lang string, raw binary").toPandas().sort_values(["lang", "raw"], kind="stable")  # at most WINDOWS rows of WINDOW bytes for each
+    with batches_of(docs.sparkSession, BATCH):
+        got = chosen.mapInArrow(_windows, "lang string, raw binary").toPandas().sort_values(["lang", "raw"], kind="stable")  # at most WINDOWS rows of WINDOW bytes for each
     if not len(got):
         return None
     labels = sorted(got.lang.unique())
@@ -208,7 +209,8 @@ def predict(docs: DataFrame, net: Net | None) -> DataFrame:
     """
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predict(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    with batches_of(docs.sparkSession, BATCH):
+        return Scratch(docs.sparkSession, "language").finish(rows.mapInArrow(_predict(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double"), "labels")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

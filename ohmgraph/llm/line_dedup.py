@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmgraph.llm.common import NULL_ID, WS, Scratch, free_name, numbered, partitions, small, table
+from ohmgraph.llm.common import BATCH, NULL_ID, WS, Scratch, batches_of, free_name, numbered, partitions, small, table
 
 #: Shorter lines are always kept.
 MIN_POINTS = 10
@@ -90,7 +90,8 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tmp = Scratch(spark, "line-dedup")
     fields = "h1 long, h2 long, did long, rk long, pos int"
-    rows = tmp.keep(keyed(docs).mapInArrow(_line_rows, fields), "lines")
+    with batches_of(spark, BATCH):
+        rows = tmp.keep(keyed(docs).mapInArrow(_line_rows, fields), "lines")
     order = ["h1", "h2", "did", "rk", "pos"]
     flags = tmp.keep(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_stream, f"kind byte, {fields}"), "flags")
     tmp.drop(rows)
@@ -98,7 +99,7 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     late = flags.filter("kind = 1").join(F.broadcast(owners), ["h1", "h2"]).filter("did <> owner")
     gone = flags.filter("kind = 0").select("did", "rk", "pos").union(late.select("did", "rk", "pos"))
     drops = gone.groupBy("did", "rk").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
-    return drops.mapInArrow(_bitmaps, "did long, rk long, keep binary")
+    return tmp.finish(drops.mapInArrow(_bitmaps, "did long, rk long, keep binary"), "bitmaps")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +127,8 @@ def _reduced(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     base = own.select(F.coalesce(F.col(name["doc_id"]).cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(text).alias("rk"), text.alias("text"), *rest)
     joined = base.join(keep_bitmaps(docs.select("doc_id", "text")), ["did", "rk"], "left")
     kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in name.items() if c != "text"]
-    return joined.mapInArrow(_apply, ", ".join([*kinds, "kept string, lines long, gone long"])), name
+    with batches_of(docs.sparkSession, BATCH):
+        return Scratch(docs.sparkSession, "line-dedup").finish(joined.mapInArrow(_apply, ", ".join([*kinds, "kept string, lines long, gone long"])), "reduced"), name
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -311,7 +311,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     label = tmp.keep(of.join(least, "component").select("k1", "k2", "class_id"), "labels")
     named = rows.filter("words > 0").select("doc_id", "words", "rk", "k1", "k2").join(label, ["k1", "k2"]).select("doc_id", "class_id", "words", "rk")
     alone = rows.filter("words = 0").select("doc_id", F.col("doc_id").alias("class_id"), "words", "rk")
-    return named.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return tmp.finish(named.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))), "classes")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

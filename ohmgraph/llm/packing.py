@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ohmgraph.llm.common import Scratch, partitions, small, table
+from ohmgraph.llm.common import BATCH, Scratch, batches_of, partitions, small, table
 from ohmgraph.llm.tokens import END, FastTokens
 
 #: Tokens of a sequence.
@@ -116,7 +116,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     spark = docs.sparkSession
     tmp = Scratch(spark, "packing")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = tmp.keep(text.mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    with batches_of(docs.sparkSession, BATCH):
+        pieces = tmp.keep(text.mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     salts = partitions(spark)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     dealt = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))

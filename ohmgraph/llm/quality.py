@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgraph.llm import textops
-from ohmgraph.llm.common import Scratch, held_out, labelled_sample, small, table
+from ohmgraph.llm.common import BATCH, Scratch, batches_of, held_out, labelled_sample, small, table
 
 SAMPLE, DIM, FOLDS, SEED, RIDGE = 20_000, 256, 5, 7, 1e-3
 #: A document of at least this score passes.
@@ -174,7 +174,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Without any labelled row the model scores every text 0.5."""
     tmp = Scratch(docs.sparkSession, "quality")
-    sample = tmp.keep(labelled_sample(docs, labels, label, SAMPLE).mapInArrow(_sampled, "doc_id long, y int, x array<double>"), "sample").coalesce(8)
+    with batches_of(docs.sparkSession, BATCH):
+        sample = tmp.keep(labelled_sample(docs, labels, label, SAMPLE).mapInArrow(_sampled, "doc_id long, y int, x array<double>"), "sample").coalesce(8)
     stats = sample.select([F.avg(F.col("x")[i]) for i in range(len(NAMES))] + [F.stddev_pop(F.col("x")[i]) for i in range(len(NAMES))]).first()
     if stats[0] is None:
         return Model(Fourier(np.zeros(len(NAMES)), np.ones(len(NAMES))), np.zeros(DIM + 1), np.array([]), np.array([]))
@@ -206,7 +207,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scores(model, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    with batches_of(docs.sparkSession, BATCH):
+        return Scratch(docs.sparkSession, "quality").finish(rows.mapInArrow(_scores(model, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int"), "scores")
 
 
 def _passing(model: Model, threshold: float):
@@ -219,7 +221,8 @@ def _passing(model: Model, threshold: float):
 
 def passing(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``, unchanged; nothing is shuffled."""
-    return docs.mapInArrow(_passing(model, threshold), docs.schema)
+    with batches_of(docs.sparkSession, BATCH):
+        return Scratch(docs.sparkSession, "quality").finish(docs.mapInArrow(_passing(model, threshold), docs.schema), "passing")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

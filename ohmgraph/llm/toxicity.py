@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmgraph.llm.common import Scratch, held_out, labelled_sample, small, table
+from ohmgraph.llm.common import BATCH, Scratch, batches_of, held_out, labelled_sample, small, table
 
 NGRAMS = (3, 4, 5, 6)
 BUCKETS, KEPT, SAMPLE = 1 << 18, 4096, 12_000
@@ -102,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Without labelled rows of both kinds the model scores every text by the share of label 1, smoothed."""
     tmp = Scratch(docs.sparkSession, "toxicity")
     sample = tmp.keep(labelled_sample(docs, labels, label, SAMPLE).select("text", "y"), "sample")
-    counts = sample.mapInArrow(_counts, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().set_index("bucket")
+    with batches_of(docs.sparkSession, BATCH):
+        counts = sample.mapInArrow(_counts, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().set_index("bucket")
     n0, n1 = (float(counts[c].get(-1, 0)) for c in ("n0", "n1"))
     counts = counts.drop(index=-1, errors="ignore")
     if not n0 or not n1:
@@ -115,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     bucket, r = counts.index.to_numpy()[best], r[best]
     column = np.full(BUCKETS, -1, np.int32)
     column[bucket] = np.arange(len(bucket))
-    got = sample.mapInArrow(_features(column), "y int, f array<int>").toPandas()
+    with batches_of(docs.sparkSession, BATCH):
+        got = sample.mapInArrow(_features(column), "y int, f array<int>").toPandas()
     size = got.f.map(len).to_numpy()
     rows, cols = np.repeat(np.arange(len(got)), size), np.concatenate([*got.f, np.empty(0, np.int32)]).astype(np.int64)
     w, bias = logistic(rows, cols, got.y.to_numpy(float), r)
@@ -142,7 +144,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scores(model, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    with batches_of(docs.sparkSession, BATCH):
+        return Scratch(docs.sparkSession, "toxicity").finish(rows.mapInArrow(_scores(model, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int"), "scores")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
