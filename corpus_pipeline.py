@@ -50,7 +50,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     last = None
     for _, stage in STAGES:
-        now = tmp.keep(stage(spark, docs, sf_dir), "stage")
+        made = stage(spark, docs, sf_dir)
+        now = tmp.keep(made, "stage")
+        tmp.drop(made)
         if last is not None:
             tmp.drop(last)
         docs = last = now
