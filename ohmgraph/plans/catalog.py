@@ -19,6 +19,7 @@ from ohmgraph.operators import xref as xr
 from ohmgraph.operators.components import components
 from ohmgraph.operators.ranks import row_numbers
 from ohmgraph.plans import driver as d
+from ohmgraph.plans import reports as rp
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,35 +312,21 @@ r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2
 )
 
 # comparisons
-query("run_comparison", f"WITH {OF} SELECT a.node_id, a.current AS c1, b.current AS c2 FROM f a JOIN f b ON a.node_id = b.node_id AND a.sample_id = 1995 AND b.sample_id = 1996")(lambda s, p: (f := d.order_flow(s, p)).filter("sample_id = 1995").select("node_id", F.col("current").alias("c1")).join(f.filter("sample_id = 1996").select("node_id", F.col("current").alias("c2")), "node_id"))
-query("set_difference", f"WITH {OF} SELECT node_id FROM f WHERE sample_id = 1995 EXCEPT SELECT node_id FROM f WHERE sample_id = 1996")(lambda s, p: (f := d.order_flow(s, p)).filter("sample_id = 1995").select("node_id").join(f.filter("sample_id = 1996").select("node_id"), "node_id", "left_anti").distinct())
+query("run_comparison", f"WITH {OF} SELECT a.node_id, a.current AS c1, b.current AS c2 FROM f a JOIN f b ON a.node_id = b.node_id AND a.sample_id = 1995 AND b.sample_id = 1996")(lambda s, p: rp.run_comparison((f := d.order_flow(s, p)).filter("sample_id = 1995"), f.filter("sample_id = 1996")))
+query("set_difference", f"WITH {OF} SELECT node_id FROM f WHERE sample_id = 1995 EXCEPT SELECT node_id FROM f WHERE sample_id = 1996")(lambda s, p: rp.only_in((f := d.order_flow(s, p)).filter("sample_id = 1995"), f.filter("sample_id = 1996")))
 query("cluster_alignment", f"WITH {OF}, k AS (SELECT sample_id, CAST(degree AS BIGINT) AS cluster, node_id FROM f), o AS (SELECT a.cluster AS left_cluster, b.cluster AS right_cluster, count(*) AS shared FROM k a JOIN k b ON a.node_id = b.node_id AND a.sample_id = 1995 AND b.sample_id = 1996 GROUP BY 1, 2) SELECT left_cluster, arg_max(right_cluster, (shared, -right_cluster)) AS right_cluster, max(shared) AS shared FROM o GROUP BY 1")(
-    lambda s, p: cluster_alignment(*(d.order_flow(s, p).filter(F.col("sample_id") == y).select(F.col("degree").cast("long").alias("cluster"), "node_id") for y in (1995, 1996)))
+    lambda s, p: rp.cluster_alignment(*(d.order_flow(s, p).filter(F.col("sample_id") == y).select(F.col("degree").cast("long").alias("cluster"), "node_id") for y in (1995, 1996)))
 )
 
 
-def cluster_alignment(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_cluster, right_cluster, shared): the cluster of ``right`` (cluster, node_id) that shares most members; of equals the smaller."""
-    shared = left.select(F.col("cluster").alias("left_cluster"), "node_id").join(right.select(F.col("cluster").alias("right_cluster"), "node_id"), "node_id").groupBy("left_cluster", "right_cluster").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.groupBy("left_cluster").agg(F.max(F.struct("shared", (-F.col("right_cluster")).alias("m"), "right_cluster")).alias("x")).select("left_cluster", "x.right_cluster", "x.shared")
-
-
 query("ortholog_translate", "SELECT l_orderkey, l_linenumber, p_name AS translated, CASE WHEN p_size > 25 THEN 'high' WHEN p_size IS NOT NULL THEN 'low' END AS confidence FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")(
     lambda s, p: d.table(s, p, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(d.table(s, p, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", "left").select("l_orderkey", "l_linenumber", F.col("p_name").alias("translated"), F.when(F.col("p_size") > 25, "high").when(F.col("p_size").isNotNull(), "low").alias("confidence"))
 )
 query("ablation_lowest", f"WITH {OF}, r AS (SELECT sample_id, node_id, row_number() OVER (PARTITION BY sample_id ORDER BY current, node_id) AS rn, count(*) OVER (PARTITION BY sample_id) AS n FROM f), v AS (SELECT unnest([5, 10, 20, 50]) AS level) SELECT level, sample_id, node_id FROM r, v WHERE rn > floor(n * level / 100)")(
-    lambda s, p: ablation(d.order_flow(s, p).select("sample_id", "node_id", F.col("current").alias("weight")))
+    lambda s, p: rp.ablation(d.order_flow(s, p).select("sample_id", "node_id", F.col("current").alias("weight")))
 )
 
 
-def ablation(hits: DataFrame, levels: tuple[int, ...] = (5, 10, 20, 50), random_seed: int | None = None) -> DataFrame:
-    """(level, sample_id, node_id): hits that are left when the lowest (or, with a seed, random) per cent are removed."""
-    order = ["weight", "node_id"] if random_seed is None else [F.xxhash64(F.lit(random_seed), "sample_id", "node_id"), F.col("node_id")]
-    w = Window.partitionBy("sample_id")
-    ranked = hits.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).filter("rn > floor(n * level / 100)").select("level", "sample_id", "node_id")
-
-
 # clusters
 @query("single_linkage")
 def single_linkage(s: SparkSession, p: str) -> DataFrame:
