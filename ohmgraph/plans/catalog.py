@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +17,7 @@ from ohmgraph.operators.components import components
 from ohmgraph.operators.ranks import row_numbers
 from ohmgraph.plans import driver as d
 from ohmgraph.plans import reports as rp
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from ohmgraph.plans.registry import QUERIES, query, r6
 
 # shared SQL
 E = "e AS (SELECT 3000000000 + l_suppkey AS i, 5000000000 + l_partkey AS j, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2)"
@@ -41,20 +35,6 @@ OF = "f AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS sample_id, 4000000000 +
 EV = "ev AS (SELECT user_id AS gene, event_type AS experiment, count(*) AS count, user_id % 10 + 1.0 AS exon_len FROM events GROUP BY 1, 2)"
 
 
-def query(name: str, sql: str | None = None):
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:  # small literals are 32-bit in SQL, ids are not
-            SQL[name] = re.sub(r"\b(1000000000|2000000000|100000000|0(?= AS sample_id))\b", r"CAST(\1 AS BIGINT)", sql)
-        return f
-
-    return put
-
-
-def r6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
 # matrices
 query("edge_weights", f"WITH {E} SELECT * FROM e")(d.supply_network)
 query("weighted_degree", f"WITH {M} SELECT * FROM g")(lambda s, p: mx.degrees(d.supply_network(s, p)))
