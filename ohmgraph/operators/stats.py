@@ -19,7 +19,7 @@ RPKM = 10e12
 
 def count_filter(genes: DataFrame, groups: list[list[int]], level: float) -> DataFrame:
     """Genes (counts array) whose smallest count within the best group is above level - 1."""
-    low = [F.array_min(F.array(*(F.col("counts")[i] for i in g))) for g in groups]
+    low = [F.array_min(F.array(*(F.get("counts", F.lit(i)) for i in g))) for g in groups]
     return genes.filter((F.greatest(*low) if len(low) > 1 else low[0]) > level - 1)
 
 

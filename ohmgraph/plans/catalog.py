@@ -193,9 +193,9 @@ query("pairs_sparse_count", "SELECT 'connex' AS kind, CAST(a.n_regionkey AS BIGI
 
 @query("ops_budget", "SELECT c_mktsegment AS sample, count(*) AS p, CAST(count(*) AS DOUBLE) ^ 2 / 2 AS ops, CASE WHEN CAST(count(*) AS DOUBLE) ^ 2 / 2 < 40000 THEN -1 ELSE greatest(40000 // (count(*) // 2), 5) END AS rounds FROM customer GROUP BY 1")
 def ops_budget(s: SparkSession, p: str) -> DataFrame:
-    sizes = d.table(s, p, "customer").groupBy(F.col("c_mktsegment").alias("sample")).agg(F.count(F.lit(1)).alias("p"))
-    ops = F.pow(F.col("p").cast("double"), F.lit(2.0)) / 2
-    return sizes.select("sample", "p", ops.alias("ops"), F.when(ops < sm.BUDGET, F.lit(-1)).otherwise(F.expr(f"greatest({sm.BUDGET} div (p div 2), 5)")).cast("long").alias("rounds"))
+    """Samples of customers by segment, a handful: what all pairs cost, and in how many rounds they fit the budget."""
+    sizes = d.table(s, p, "customer").groupBy("c_mktsegment").count().collect()
+    return s.createDataFrame([(r[0], r[1], float(sm.evaluate_ops(r[1])), sm.reduce_ops(r[1])) for r in sizes], "sample string, p long, ops double, rounds long")
 
 
 query("weighted_sample")(lambda s, p: sm.matched_samples(d.nation_sample(s, p), _background(s, p), 24, seed=1))

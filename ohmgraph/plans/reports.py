@@ -123,7 +123,7 @@ def expression_suite(counts: DataFrame, groups: dict[str, list[int]], level: flo
     out, names = None, list(groups)
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            one = st.group_difference(stats, a, b).withColumn("p", st.student_sf(F.col("t"), F.col("df"))).filter("not isnan(p)")
+            one = st.group_difference(stats, a, b).withColumn("p", st.student_sf(F.col("t"), F.col("df"))).filter("p is not null and not isnan(p)")
             one = st.bh_mask(one, alpha).select("gene", F.lit(a).alias("a"), F.lit(b).alias("b"), "t", "df", "p", "pass")
             out = one if out is None else out.unionByName(one)
     if out is None:

@@ -44,7 +44,7 @@ query("ontology_edges", f"WITH {_REL} SELECT child, parent, CASE relation WHEN '
     lambda s, p: obo.edges(obo.relations(obo.terms(s, fm.obo_file(s, p))))
 )
 
-_UP = "up AS (SELECT s_suppkey AS k, s_nationkey AS nk, 'G' || s_nationkey || '_S' || s_suppkey AS id, regexp_replace(s_name, 'Supplier#([0-9])', 'Supplier_\\1') AS full FROM supplier WHERE s_nationkey < 20)"
+_UP = "up AS (SELECT s_suppkey AS k, s_nationkey AS nk, 'G' || s_nationkey || '_S' || s_suppkey AS id, regexp_replace(s_name, 'Supplier#([0-9])', 'Supplier_\\1') AS full_name FROM supplier WHERE s_nationkey < 20)"
 query("scan_proteins", f"WITH {_UP} SELECT id, CAST(nk AS VARCHAR) AS tax_id, 'A' || k || '|B' || k AS acnum, full_name, 'other ' || k AS alt, 'Supplier_' || k AS gene, 'alt' || k AS synonyms, {_NUM(200, 'nk')} AS go, 'k:' || k AS kegg, 'E' || k || '/F' || k || '.1/-/mRNA' AS embl FROM up")(
     lambda s, p: swissprot.proteins(s, fm.protein_file(s, p), fm._TAXA).select("id", "tax_id", F.concat_ws("|", "acnum").alias("acnum"), F.col("names.full").alias("full_name"), F.concat_ws("|", "names.alt_names").alias("alt"), F.concat_ws("|", "gene_refs.names").alias("gene"), F.concat_ws("|", "gene_refs.alt_names").alias("synonyms"), F.concat_ws("|", "go").alias("go"), F.concat_ws("|", "kegg").alias("kegg"), F.concat_ws("|", F.transform("embl", lambda e: F.concat_ws("/", e["accession"], e["id"], e["status"], e["type"]))).alias("embl"))
 )
