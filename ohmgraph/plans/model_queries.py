@@ -128,8 +128,8 @@ def interactome_analysis(s: SparkSession, p: str) -> DataFrame:
 
 @query("annotome_analysis")
 def annotome_analysis(s: SparkSession, p: str) -> DataFrame:
-    """Terms by the flow between the poorest suppliers against two null samples."""
-    got = analysis.analyze_annotome(models.compile_annotome(d.graph(s, p)), _poorest(s, p), _suppliers(s, p), depth=2, clusters=False)
+    """Terms by the flow between the poorest suppliers against a null sample."""
+    got = analysis.analyze_annotome(models.compile_annotome(d.graph(s, p)), _poorest(s, p), _suppliers(s, p), depth=1, clusters=False)
     return got.nodes.drop("hits")
 
 
