@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ohmgraph.llm import line_dedup, mixing, near_dedup, packing, quality
@@ -33,12 +37,35 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
+#: Tables that the stages returned last and nobody may need any more.
+_made: list[DataFrame] = []
+
+
+def _cleaning(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage``, which first removes what an earlier one has returned, unless its input still reads it: with texts these tables are as large as the corpus."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _made else []
+        for old in list(_made):
+            name = urlsplit(old._ohm_path).path
+            if not any(name in urlsplit(f).path for f in read):
+                Scratch(spark, "pipeline").drop(old)
+                _made.remove(old)
+        out = stage(spark, docs, sf_dir)
+        if hasattr(out, "_ohm_path"):
+            _made.append(out)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("10 quality classifier", quality_stage),
-    ("1 line dedup", line_stage),
-    ("4 MinHash near-dedup", near_stage),
-    ("5 mixing", mixing_stage),
-    ("3 best-fit packing", packing_stage),
+    ("10 quality classifier", _cleaning(quality_stage)),
+    ("1 line dedup", _cleaning(line_stage)),
+    ("4 MinHash near-dedup", _cleaning(near_stage)),
+    ("5 mixing", _cleaning(mixing_stage)),
+    ("3 best-fit packing", _cleaning(packing_stage)),
 ]
 #: SQL cannot express the classifier, the signatures and the tokens.
 ORACLE_SQL = None
