@@ -148,7 +148,9 @@ def deduped(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the text that is left, and ``n_chars``, where there is one, counted anew. No row goes."""
     out, name = _reduced(docs)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*(new.get(c, F.col(n)).alias(c) for c, n in name.items()))
+    got = out.select(*(new.get(c, F.col(n)).alias(c) for c, n in name.items()))
+    got._ohm_path = out._ohm_path  # the table that it reads
+    return got
 
 
 def sha256_hex(text: Column) -> Column:
