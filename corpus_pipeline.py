@@ -52,6 +52,7 @@ def _cleaning(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
             if not any(name in urlsplit(f).path for f in read):
                 Scratch(spark, "pipeline").drop(old)
                 _made.remove(old)
+        spark._jvm.System.gc()  # generated classes and buffers of earlier stages leave the driver, whose memory is the scarcest
         out = stage(spark, docs, sf_dir)
         if hasattr(out, "_ohm_path"):
             _made.append(out)
