@@ -126,10 +126,17 @@ def interactome_analysis(s: SparkSession, p: str) -> DataFrame:
     return analysis.analyze_interactome(model, _poorest(s, p), _suppliers(s, p), depth=3, clusters=False).nodes
 
 
+def _rooted(s: SparkSession, p: str):
+    """The graph with one term above all regions."""
+    root = d._nodes(s.range(1).select(F.lit(0).alias("key"), F.lit("all").alias("name")), d.ROOT, "key", "name", "GOTerm", "annotation", "root", [])
+    up = d._edges(d.table(s, p, "region"), d.node(d.REGION, "r_regionkey"), F.lit(d.ROOT).cast("long"), "is_part_of_go", "annotation_relationship", "root")
+    return d.graph(s, p).create(root).link(up)
+
+
 @query("annotome_analysis")
 def annotome_analysis(s: SparkSession, p: str) -> DataFrame:
     """Terms by the flow between the poorest suppliers against a null sample."""
-    got = analysis.analyze_annotome(models.compile_annotome(d.graph(s, p)), _poorest(s, p), _suppliers(s, p), depth=1, clusters=False)
+    got = analysis.analyze_annotome(models.compile_annotome(_rooted(s, p)), _poorest(s, p), _suppliers(s, p), depth=1, clusters=False)
     return got.nodes.drop("hits")
 
 
