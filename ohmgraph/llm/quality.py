@@ -22,6 +22,8 @@ from ohmgraph.llm import textops
 from ohmgraph.llm.common import BATCH, Scratch, batches_of, held_out, labelled_sample, small, table
 
 SAMPLE, DIM, FOLDS, SEED, RIDGE = 20_000, 256, 5, 7, 1e-3
+#: Tasks that write the sample, and so its files, at most; on a local file system an executor starts a process for each file.
+PARTS = 8
 #: A document of at least this score passes.
 THRESHOLD = 0.7
 
@@ -175,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Without any labelled row the model scores every text 0.5."""
     tmp = Scratch(docs.sparkSession, "quality")
     with batches_of(docs.sparkSession, BATCH):
-        sample = tmp.keep(labelled_sample(docs, labels, label, SAMPLE).mapInArrow(_sampled, "doc_id long, y int, x array<double>"), "sample").coalesce(8)
+        sample = tmp.keep(labelled_sample(docs, labels, label, SAMPLE).coalesce(PARTS).mapInArrow(_sampled, "doc_id long, y int, x array<double>"), "sample")
     stats = sample.select([F.avg(F.col("x")[i]) for i in range(len(NAMES))] + [F.stddev_pop(F.col("x")[i]) for i in range(len(NAMES))]).first()
     if stats[0] is None:
         return Model(Fourier(np.zeros(len(NAMES)), np.ones(len(NAMES))), np.zeros(DIM + 1), np.array([]), np.array([]))
