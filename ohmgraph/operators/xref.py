@@ -43,6 +43,17 @@ def cross_links(graph: Graph, tag_types: tuple[str, ...]) -> DataFrame:
     return a.join(b, "tag").filter("la <> lb").select("src", "dst", "tag", "tag_type")
 
 
+def cross_link_counts(graph: Graph, tag_types: tuple[str, ...]) -> DataFrame:
+    """(src, links): how many rows ``cross_links`` has for each node, counted by tags and legacy ids and not by pairs."""
+    n = graph.nodes.select(F.col("id").alias("node_id"), "legacy_id")
+    x = graph.xrefs.join(n.hint("merge"), "node_id").filter("tag is not null and legacy_id is not null")  # a file of nodes is small for its rows: not for the driver
+    same = x.groupBy("tag", "legacy_id").agg(F.count(F.lit(1)).alias("same"))
+    every = same.groupBy("tag").agg(F.sum("same").alias("every"))
+    a = x.filter(F.col("tag_type").isin(*tag_types)).groupBy("tag", "legacy_id", F.col("node_id").alias("src")).agg(F.count(F.lit(1)).alias("n"))
+    got = a.join(same.hint("merge"), ["tag", "legacy_id"]).join(every, "tag")
+    return got.groupBy("src").agg(F.sum(F.col("n") * (F.col("every") - F.col("same"))).alias("links")).filter("links > 0")
+
+
 def accession_keys(accession: F.Column) -> F.Column:
     """An accession and its prefixes before ``-``, ``_``, ``.`` and ``,``, each once."""
     return F.array_distinct(F.array(accession, *(F.substring_index(accession, c, 1) for c in "-_.,")))
