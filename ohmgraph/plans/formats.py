@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgraph.operators.graph import Graph
+from ohmgraph.operators.matrix import spread
 from ohmgraph.plans import driver as d
 from ohmgraph.plans import ingest
 from ohmgraph.scratch import Scratch
@@ -46,7 +47,8 @@ def _c(prefix: str, column: str) -> Column:
 
 def _pairs(s: SparkSession, p: str) -> DataFrame:
     """(l_suppkey, l_partkey, n, flag, quantity): one row for each pair, so that no rule of order matters."""
-    return d.table(s, p, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
+    rows = spread(d.table(s, p, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_quantity"), "l_suppkey", "l_partkey")
+    return rows.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
 
 
 # interactions

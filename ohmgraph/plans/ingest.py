@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ohmgraph.operators import xref
 from ohmgraph.operators.graph import Graph
 from ohmgraph.schema import EDGES, NODES, XREFS
+from ohmgraph.scratch import Scratch
 from ohmgraph.sources import biopax, flat, obo, swissprot
 
 #: A source's contribution; the recipe for a new one.
@@ -58,8 +59,10 @@ def reactome(spark: SparkSession, path: str) -> Adapter:
     """
 
     def run(graph: Graph) -> Graph:
-        words, entities, reacts = biopax.vocabularies(spark, path), biopax.physical_entities(spark, path), biopax.reactions(spark, path)
-        paths, steps, features = biopax.pathways(spark, path), biopax.pathway_steps(spark, path), biopax.modifications(spark, path)
+        tmp = Scratch(spark, "reactome")  # each kind of element is parsed once, however many kinds of edges need it
+        words, entities, reacts = tmp.keep(biopax.vocabularies(spark, path), "words"), tmp.keep(biopax.physical_entities(spark, path), "entities"), tmp.keep(biopax.reactions(spark, path), "reactions")
+        paths, steps = tmp.keep(biopax.pathways(spark, path), "pathways"), tmp.keep(biopax.pathway_steps(spark, path), "steps")
+        features = tmp.keep(biopax.modifications(spark, path, words), "features")
         places = words.filter("kind = 'CellularLocationVocabulary'")
         kind = lambda c: F.when(c == "Dna", "DNA").when(c == "Rna", "RNA").otherwise(c)
         typed = F.concat(kind(F.col("kind")), F.when(F.col("is_collection"), "_Collection").otherwise(""))
@@ -73,6 +76,7 @@ def reactome(spark: SparkSession, path: str) -> Adapter:
             .unionByName(nodes(steps.withColumn("name", F.col("id")), "Reactome", "PathwayStep", "annotation", "id", "name"))
             .unionByName(nodes(paths, "Reactome", "Pathway", "annotation", "id", "display_name"))
         )
+        n = tmp.keep(n, "nodes")
         real = lambda rows, end: rows.join(n.select(F.col("id").alias(end)), end, "left_semi").select("src", "dst", *(c for c in rows.columns if c not in ("src", "dst")))
         each = lambda rows, column: rows.filter(F.size(column) > 0).select("id", F.explode(column).alias("other"))
         id_, other = F.col("id"), F.col("other")
@@ -226,8 +230,18 @@ def without_forbidden(graph: Graph, names: Iterable[str] | None = None) -> Graph
 
 
 def build(spark: SparkSession, adapters: Iterable[Adapter]) -> Graph:
-    """The whole graph: sources in order, then links by shared identifiers and marks of forbidden nodes."""
-    return without_forbidden(cross_linked(reduce(lambda g, f: f(g), adapters, empty(spark))))
+    """The whole graph: sources in order, then links by shared identifiers and marks of forbidden nodes.
+
+    Nodes and cross-references are written after each source that adds some: later ones look their ends up in them.
+    """
+    tmp = Scratch(spark, "build")
+
+    def add(graph: Graph, adapter: Adapter) -> Graph:
+        new = adapter(graph)
+        kept = lambda name: now if (now := getattr(new, name)) is getattr(graph, name) else tmp.keep(now, name)
+        return Graph(kept("nodes"), new.edges, kept("xrefs"))
+
+    return without_forbidden(cross_linked(reduce(add, adapters, empty(spark))))
 
 
 def save(graph: Graph, folder: str) -> Graph:

@@ -51,9 +51,9 @@ def references(spark: SparkSession, path: str) -> DataFrame:
     return names.join(tags, "id", "left")
 
 
-def modifications(spark: SparkSession, path: str) -> DataFrame:
-    """(id, location, modification), both looked up."""
-    v = vocabularies(spark, path)
+def modifications(spark: SparkSession, path: str, words: DataFrame | None = None) -> DataFrame:
+    """(id, location, modification), both looked up in ``words``, the file's vocabularies."""
+    v = vocabularies(spark, path) if words is None else words
     m = scan(spark, path, "ModificationFeature", featureLocation="ref", modificationType="ref")
     a = v.filter("kind = 'SequenceSite'").select(F.col("id").alias("featureLocation"), F.col("value").alias("location"))
     b = v.filter("kind = 'SequenceModificationVocabulary'").select(F.col("id").alias("modificationType"), F.col("value").alias("modification"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ohmgraph.operators.matrix import spread
 from ohmgraph.scratch import Scratch
 
 
@@ -31,10 +32,10 @@ def col(i: int) -> Column:
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str] = ("file", "line")) -> DataFrame:
-    """One row per key: the last by file and line; a max per key, combined before the shuffle."""
+    """One row per key: the last by file and line; a max per key, taken where few enough rows meet: maxima of structs are sorted for."""
     rest = [c for c in df.columns if c not in keys and c not in order]
     best = F.max_by(F.struct(*rest), F.struct(*order)) if rest else F.max(F.lit(1))
-    got = df.groupBy(*keys).agg(best.alias("x"))
+    got = spread(df, *keys).groupBy(*keys).agg(best.alias("x"))
     return got.select(*keys, *(f"x.{c}" for c in rest))
 
 
